@@ -8,6 +8,7 @@ in tests) a local temporary folder is made and recorded in the session.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,3 +65,13 @@ def _at_exit() -> None:
             drop(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that have ended.
+
+    They go when the driver collects the garbage that refers to them, which a
+    large heap may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
