@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, UPPER, alnum_words, map_arrow, rows_of, sha256, table
+from tessera.llm.common import LOWER, UPPER, alnum_words, map_arrow, rows_of, table
 
 WINDOW = 10
 #: Tokens of a segment; a longer document is a segment of its own.

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }
