@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, substring_dedup
+from tessera.llm import decontaminate, jaccard_join, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
