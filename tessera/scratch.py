@@ -36,7 +36,15 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     _live[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``materialize`` that nothing will read again."""
+    path = table.scratch_path
+    drop(_live.pop(path), path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
