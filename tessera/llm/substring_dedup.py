@@ -88,7 +88,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
 
     ``row_key`` is xxhash64(doc_id, text).
     """
-    spark, rows = docs.sparkSession, _keyed(docs)
+    rows = _keyed(docs)
     lengths = level_lengths(window, shortest)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -105,16 +105,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
     state = scratch.materialize(map_arrow(rows, first, "row_key long, hashes array<long>"), "windows")
     for shorter, length in zip([None, *lengths], lengths, strict=False):
         if shorter is not None:
-            state = scratch.materialize(_extended(rows, state, window, shorter, length), "windows")
-            scratch.settle(spark)
-        survivors = scratch.materialize(_repeated(state), "repeated")
-        scratch.settle(spark)
-        state = survivors
+            state = _next(state, _extended(rows, state, window, shorter, length), "windows")
+        state = _next(state, _repeated(state), "repeated")
         if length != window and state.isEmpty():
             break
     return state
 
 
+def _next(old: DataFrame, new: DataFrame, tag: str) -> DataFrame:
+    """The table ``new`` in place of the ``old`` one that it was made of."""
+    table = scratch.materialize(new, tag)
+    scratch.discard(old)
+    scratch.settle(old.sparkSession)
+    return table
+
+
 def _extended(rows: DataFrame, repeated: DataFrame, window: int, shorter: int, length: int) -> DataFrame:
     """The windows of ``length`` words that stand for a passage whose shorter stand-in is repeated."""
 
