@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard_join, substring_dedup
+from tessera.llm import bpe, decontaminate, jaccard_join, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
