@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard_join, quality_rules, substring_dedup
+from tessera.llm import bpe, decontaminate, jaccard_join, quality_fm, quality_rules, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": quality_fm.op1_quality_fm,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,

@@ -64,7 +64,7 @@ class Rows:
     """Sparse rows (indices and values) laid end to end."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        self.sizes = np.array([len(i) for i, _ in parts])
+        self.sizes = np.array([len(i) for i, _ in parts], np.int64)
         self.index = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int64)
         self.value = np.concatenate([v for _, v in parts]).astype(np.float32) if parts else np.zeros(0, np.float32)
         self.row = np.repeat(np.arange(len(parts)), self.sizes)
