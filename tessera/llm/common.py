@@ -27,7 +27,7 @@ ALNUM_TABLE = bytes(
 LOWER_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2048
+BATCH_ROWS = 256
 
 
 def raw(text: str | None) -> bytes:
