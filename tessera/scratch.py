@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,10 @@ def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs that have ended.
 
     They go when the driver collects the garbage that refers to them, which a
-    large heap may put off until the disks are full.
+    large heap may put off until the disks are full. It takes two collections:
+    what the first one frees on Python's side is let go by the second.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
