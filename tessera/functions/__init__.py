@@ -1 +1 @@
-
+"""Column functions: text, digests, numbers and JSON."""

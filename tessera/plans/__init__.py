@@ -1 +1,16 @@
+"""Queries over the driver's tables: each applies operators, and has the SQL that gives the same rows where SQL can."""
 
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from tessera.plans import registry, search  # noqa: F401 - importing a module registers its queries
+
+    return dict(registry.QUERIES)
+
+
+def all_oracles() -> dict:
+    all_queries()
+    from tessera.plans import registry
+
+    return dict(registry.ORACLES)
