@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The pieces that a partition has not met yet are laid out in one sequence of
+The pieces that a partition has not met before are laid out in one sequence of
 symbols. An index maps each mergeable pair to all its places there; active
 ranks are applied in ascending order over all pieces at once, and each merge
 updates only the lists of the pairs beside it. Pieces already met are looked up.
@@ -22,21 +22,21 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from tessera.llm.common import map_arrow, rows_of, sha256, table
 
-#: Distinct white-space chunks in each of a worker's two generations of memory, and the longest one remembered.
+#: Distinct pieces in each of a worker's two generations of memory, and the longest one remembered.
 MEMORY = 200_000
 LONGEST = 48
-#: White space of the vocabulary's normaliser; ``str.split()`` also splits at U+001C to U+001F.
-_SPLIT_TOO_FAR = re.compile("[\x1c-\x1f]")
+#: White space of the vocabulary's normaliser.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Up to here (but for U+0130) normalisation changes nothing but case, and all libraries agree on letters and digits.
-_FAST = re.compile("[\x00-įı-ɏ]*")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: In texts of these characters (not U+001C to U+001F, nor U+0130) normalisation changes nothing but case, and
+#: Python's ``re`` agrees with the vocabulary on letters, digits and white space.
+_FAST = re.compile("[\x00-\x1b\x20-įı-ɏ]*")
+#: The vocabulary's own splitting rule for such texts, after lower-casing.
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json", root: str = "/opt/tokenizers") -> str:
@@ -60,13 +60,15 @@ class Bpe:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.token = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.special_rule = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.library = Tokenizer.from_str(text)
         letters = _byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + end] for c in letters]
         self.shift = max(self.token).bit_length()
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merge = {vocab[a] << self.shift | vocab[b]: (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.rank = {a << self.shift | b: r for r, (a, b, _) in enumerate(self.parts)}
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
@@ -78,52 +80,60 @@ class Bpe:
         self.ids = {s: str(i) for s, i in self.special.items()}
         self.texts = {s: s for s in self.special}
 
-    def merged(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece."""
-        shift, merge = self.shift, self.merge
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        """Token ids of each piece.
+
+        Places are indexed by the rank of the pair that stands there. No merge makes a pair of a lower rank than its
+        own (a token is in a pair only after it has been made), so one ascending pass over all pieces is exact.
+        """
+        shift, rank, inner, last = self.shift, self.rank.get, self.inner, self.last
         symbol: list[int] = []
         starts = []
         for p in pieces:
+            data = p.encode()
             starts.append(len(symbol))
-            symbol += [self.inner[b] for b in p[:-1]]
-            symbol.append(self.last[p[-1]])
-            symbol.append(-1)
+            symbol += [inner[b] for b in data[:-1]]
+            symbol += (last[data[-1]], -1)
         size = len(symbol)
         after = list(range(1, size + 1))
         before = list(range(-1, size - 1))
         places: dict[int, list[int]] = {}
-        for i in range(size - 1):
-            a, b = symbol[i], symbol[i + 1]
-            if a >= 0 and b >= 0 and (pair := a << shift | b) in merge:
-                places.setdefault(pair, []).append(i)
-        active = [(merge[p][0], p) for p in places]
+        for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False)):
+            if a >= 0 and b >= 0 and (r := rank(a << shift | b)) is not None:
+                if r in places:
+                    places[r].append(i)
+                else:
+                    places[r] = [i]
+        active = list(places)
         heapq.heapify(active)
+        push, pop = heapq.heappush, heapq.heappop
         while active:
-            pair = heapq.heappop(active)[1]
-            here = places.pop(pair, None)
-            if here is None:
-                continue
-            left, right, new = pair >> shift, pair & (1 << shift) - 1, merge[pair][1]
+            r = pop(active)
+            here = places.pop(r)
+            left, right, new = self.parts[r]
             here.sort()
+            high = new << shift
             for i in here:
                 j = after[i]
                 if symbol[i] != left or symbol[j] != right:
                     continue
-                k, h = after[j], before[i]
+                k = after[j]
                 symbol[i], symbol[j] = new, -2
                 after[i], before[k] = k, i
                 b = symbol[k]
-                if b >= 0 and (q := new << shift | b) in merge:
-                    if q not in places:
-                        places[q] = []
-                        heapq.heappush(active, (merge[q][0], q))
-                    places[q].append(i)
-                a = symbol[h]
-                if h >= 0 and a >= 0 and (q := a << shift | new) in merge:
-                    if q not in places:
-                        places[q] = []
-                        heapq.heappush(active, (merge[q][0], q))
-                    places[q].append(h)
+                if b >= 0 and (q := rank(high | b)) is not None:
+                    if q in places:
+                        places[q].append(i)
+                    else:
+                        places[q] = [i]
+                        push(active, q)
+                h = before[i]
+                if h >= 0 and (a := symbol[h]) >= 0 and (q := rank(a << shift | new)) is not None:
+                    if q in places:
+                        places[q].append(h)
+                    else:
+                        places[q] = [h]
+                        push(active, q)
         out = []
         for i in starts:
             ids = []
@@ -133,36 +143,41 @@ class Bpe:
             out.append(ids)
         return out
 
-    def pieces(self, chunk: str) -> list[bytes]:
-        """The pieces of a chunk without white space, as the vocabulary's own normaliser and splitter give them."""
-        if _FAST.fullmatch(chunk):
-            return [p.encode() for p in _PIECES.findall(chunk.lower())]
-        known = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
-        return [bytes(self.byte_of[c] for c in p) for p, _ in known]
-
-    def chunks(self, text: str) -> list[str]:
-        for s in self.special:
-            if s in text:
-                text = text.replace(s, f" {s} ")
-        return [c for c in _WHITE.split(text) if c] if _SPLIT_TOO_FAR.search(text) else text.split()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that aren't remembered."""
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text without special tokens, as the vocabulary's own normaliser and splitter give them."""
+        if _FAST.fullmatch(text):
+            return _PIECES.findall(text.lower())
+        out = []
+        for chunk in _WHITE.split(text):
+            if _FAST.fullmatch(chunk):
+                out += _PIECES.findall(chunk.lower())
+            else:
+                known = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+                out += [bytes(self.byte_of[c] for c in p).decode() for p, _ in known]
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; special tokens are pieces of their own."""
+        if not any(s in text for s in self.special):
+            return self.pieces(text)
+        out = []
+        for part in self.special_rule.split(text):
+            out += [part] if part in self.special else self.pieces(part)
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that aren't remembered."""
         if len(self.ids) > MEMORY:
             self._age()
         missing = []
-        for c in chunks.difference(self.ids):
-            if c in self.old_ids:
-                self.ids[c], self.texts[c] = self.old_ids[c], self.old_texts[c]
+        for p in pieces.difference(self.ids):
+            if p in self.old_ids:
+                self.ids[p], self.texts[p] = self.old_ids[p], self.old_texts[p]
             else:
-                missing.append(c)
-        cut = [self.pieces(c) for c in missing]
-        distinct = dict.fromkeys(p for ps in cut for p in ps)
-        ids = dict(zip(distinct, self.merged(list(distinct)), strict=True))
-        for chunk, ps in zip(missing, cut, strict=True):
-            of = [i for p in ps for i in ids[p]]
-            self.ids[chunk] = " ".join(map(str, of))
-            self.texts[chunk] = self.decode(of)
+                missing.append(p)
+        for p, ids in zip(missing, self.merged(missing), strict=True):
+            self.ids[p] = " ".join(map(str, ids))
+            self.texts[p] = self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; this vocabulary has no decoder, so its tokens are joined by spaces."""
@@ -170,13 +185,13 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text its ids, and their decoding, each joined by spaces."""
-        cut = [self.chunks(t) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
         ids, back = self.ids.__getitem__, self.texts.__getitem__
-        for chunks in cut:
-            yield " ".join(map(ids, chunks)), " ".join(map(back, chunks))
-        for c in [c for c in self.ids if len(c) > LONGEST and c not in self.special]:
-            del self.ids[c], self.texts[c]
+        for pieces in cut:
+            yield " ".join(map(ids, pieces)), " ".join(map(back, pieces))
+        for p in [p for p in self.ids if len(p) > LONGEST and p not in self.special]:
+            del self.ids[p], self.texts[p]
 
 
 _ready: dict[int, Bpe] = {}
