@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Bytes of a row group; writers and readers hold about one at a time.
+ROW_GROUP = 32 << 20
 _live: dict[str, SparkSession] = {}
 
 
@@ -32,7 +34,7 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP))
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
