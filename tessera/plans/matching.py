@@ -219,9 +219,8 @@ def j13_masked_ranges(spark, d):
     return hits.join(c, (F.col("doc_id") == F.col("c_doc")) & F.col("line").between(F.col("a"), F.col("b")), "left_anti")
 
 
-@query("a16_label_anomalies", """WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, (l_quantity % 6)::INT AS label FROM lineitem),
+@query("a16_label_anomalies", """WITH e AS (SELECT user_id AS doc_id, event_id AS ordinal, event_id % 11 AS label FROM events),
 r AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY ordinal) AS p, row_number() OVER (PARTITION BY doc_id, label ORDER BY ordinal) > 1 AS again FROM e)
 SELECT doc_id, bool_or(again) AS duplicates, bool_or(coalesce(label < p, false)) AS regressions, bool_or(coalesce(label > p + 1, false)) AS gaps FROM r GROUP BY doc_id HAVING count(*) >= 2""")
 def a16_label_anomalies(spark, d):
-    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"), (F.col("l_quantity") % 6).cast("int").alias("label"))
-    return M.label_anomalies(e)
+    return M.label_anomalies(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 11).alias("label")))

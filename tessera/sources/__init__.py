@@ -1 +1 @@
-
+"""Sources and sinks: files, catalogs, caches and event logs."""
