@@ -115,6 +115,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
 def _next(old: DataFrame, new: DataFrame, tag: str) -> DataFrame:
     """The table ``new`` in place of the ``old`` one that it was made of."""
     table = scratch.materialize(new, tag)
+    del new  # else its shuffles stay
     scratch.discard(old)
     scratch.settle(old.sparkSession)
     return table
