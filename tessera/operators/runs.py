@@ -124,13 +124,14 @@ def cost(usage: DataFrame) -> Column:
 
     Unknown isn't zero: a missing count, a missing rate of tokens that were used, or more cached tokens than input give null.
     """
-    d = lambda c: F.col(c).cast("decimal(18,6)")
+    # twelve places are kept exactly: Spark would round the quotient of wide decimals
+    each = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(14,6)") * F.lit("0.000001").cast("decimal(6,6)")
     ordinary = F.when(F.col("includes_cache"), F.col("input_tokens") - F.col("cached_tokens") - F.col("written_tokens")).when(~F.col("includes_cache"), F.col("input_tokens"))
     known = F.col("output_tokens").isNotNull() & F.col("cached_tokens").isNotNull() & F.col("written_tokens").isNotNull() & (ordinary >= 0)
     priced = ((F.col("cached_tokens") == 0) | F.col("read_rate").isNotNull()) & ((F.col("written_tokens") == 0) | F.col("write_rate").isNotNull())
-    part = lambda n, r: n.cast("decimal(18,0)") * F.coalesce(d(r), F.lit(0).cast("decimal(18,6)"))
+    part = lambda n, r: n.cast("decimal(12,0)") * each(r)
     total = part(ordinary, "input_rate") + part(F.col("output_tokens"), "output_rate") + part(F.col("cached_tokens"), "read_rate") + part(F.col("written_tokens"), "write_rate")
-    return F.when(known & priced, (total / 1000000).cast("decimal(38,12)"))
+    return F.when(known & priced, total.cast("decimal(38,12)"))
 
 
 def cost_range(usage: DataFrame, long_input: int) -> DataFrame:

@@ -172,7 +172,7 @@ def usage(spark, d):
 
 
 def _millionths(amount):
-    return (amount * 1000000).cast("decimal(38,6)")
+    return (amount.cast("decimal(28,12)") * F.lit(1000000).cast("decimal(7,0)")).cast("decimal(38,6)")
 
 
 @query("a12_usage_availability", f"WITH {USE} SELECT id, CASE WHEN input_tokens IS NOT NULL AND output_tokens IS NOT NULL THEN 'reported' WHEN coalesce(input_tokens, output_tokens, cached_tokens) IS NOT NULL THEN 'partial' ELSE 'unavailable' END AS availability FROM u")
