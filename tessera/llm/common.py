@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessera.ship import ship
+
 #: ASCII white space, as in the class [\x20\x09-\x0D]; ``bytes.split()`` splits at exactly these.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -84,7 +86,8 @@ def sha256(data: bytes | str) -> str:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes, so that very long texts don't pile up in a Python worker."""
+    """Keep Arrow batches small, so that very long texts don't pile up in a Python worker; and see that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -114,3 +117,11 @@ def lower_az(col):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -1,12 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The distinct shingles of a text form its set. Sets are collapsed to classes of
-equal sets first. Two filters that lose no link narrow the classes: a set can
-have a partner only if enough of its lowest-hash shingles occur elsewhere, and
-then only if enough of all its shingles do. What is left is sorted in one
-global order (rarest shingle first), which pivots cut into fragments; for each
-candidate pair every fragment counts its own partial overlap, and the sum per
-pair decides.
+equal sets first. Two filters that lose no link narrow the classes: of a set
+that has a partner, all but a quarter of the shingles occur elsewhere; that is
+counted over one fragment of the hash order for all sets, and then over all
+shingles of the sets that remain. These are sorted in one global order (rarest
+shingle first), which pivots cut into fragments; for each candidate pair every
+fragment counts its own partial overlap, and the sum per pair decides.
 
 Candidate pairs share a shingle of both prefixes. They are not all listed:
 a shingle's classes are first compared with one hub, links are contracted to
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, LOWER_TABLE, UPPER, hash_words, map_arrow, raw, rows_of, table, window_hashes
+from tessera.llm.common import LOWER, LOWER_TABLE, UPPER, fresh, hash_words, map_arrow, raw, rows_of, table, window_hashes
 from tessera.llm.graph import components
 
 SHINGLE = 5
@@ -41,8 +41,8 @@ PERCENT = 75
 FRAGMENTS = 8
 #: Rounds in which a shingle's classes are compared with a hub only.
 HUB_ROUNDS = 2
-#: The first filter looks at this share of a set beyond the plain prefix.
-EXTRA = 10
+#: The first filter looks at the shingles in this share of the range of hashes.
+SHARE = 0.4
 #: Bits of a shingle's hash that the first filter counts; a clash there only lets more through.
 FILTER_BITS = 48
 
@@ -53,25 +53,16 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(h, min(size, len(h)))) if len(h) else h
 
 
-def _needed(n):
-    """The least overlap of a set of n with any partner: ceil(n * PERCENT / 100). Works for numbers and columns."""
-    return (n * PERCENT + 99 - (n * PERCENT + 99) % 100) / 100 if not isinstance(n, int) else -(-n * PERCENT // 100)
-
-
-def _prefix_length(n: int) -> int:
-    return min(n, n - _needed(n) + 1 + n // EXTRA)
-
-
 def _enough(a, b, overlap):
     """overlap / (a + b - overlap) >= PERCENT / 100, in whole numbers."""
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Each row's set size, 128-bit digest of its set, and lowest-hash prefix."""
+    """Each row's set size, 128-bit digest of its set, and its shingles in the first fragment of the hash order."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        mask = np.uint64((1 << FILTER_BITS) - 1)
+        mask, end = np.uint64((1 << FILTER_BITS) - 1), np.uint64(int(SHARE * (1 << 64)))
         for batch in batches:
             ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))
             sets = [shingle_set(t, size) for t in texts]
@@ -80,64 +71,52 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 "doc_id": ids, "row_key": keys, "n": [len(s) for s in sets],
                 "d1": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
                 "d2": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
-                "prefix": [(s[: _prefix_length(len(s))] & mask).view(np.int64) for s in sets],
+                "fragment": [(s[: np.searchsorted(s, end)] & mask).view(np.int64) for s in sets],
             }
 
-    return map_arrow(docs, sketch, "doc_id long, row_key long, n long, d1 long, d2 long, prefix array<long>")
+    return map_arrow(docs, sketch, "doc_id long, row_key long, n long, d1 long, d2 long, fragment array<long>")
 
 
 def _may_link(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes of which enough lowest-hash shingles occur in other rows' prefixes too.
-
-    Two linked sets share at least 1 + min(|x|, |y|) // EXTRA shingles of both
-    prefixes, and the smaller has at least the needed overlap of the larger.
-    """
-    flat = sketches.select("d1", F.explode("prefix").alias("token"))
+    """The classes that lack no more shingles of the fragment elsewhere than a link may lack in all."""
+    flat = sketches.select("d1", F.explode("fragment").alias("token"))
     often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = flat.join(often, "token", "left_semi").groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
-    least = F.floor(F.ceil(F.col("n") * PERCENT / 100) / EXTRA) + 1
-    return classes.join(shared, "d1").where(F.col("shared") >= F.col("copies") * least).select("cid")
+    shared = flat.join(often.hint("shuffle_hash"), "token", "left_semi").groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
+    lacking = F.col("copies") * F.col("here") - F.coalesce("shared", F.lit(0))
+    return classes.join(shared, "d1", "left").where(lacking <= F.col("copies") * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100))).select("cid")
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """(cid, n, order: shared shingles as (df, token) in the global order, score).
+def _graded(sets: DataFrame) -> DataFrame:
+    """(cid, n, token, df, at, score) of the shingles of two classes or more; ``at`` counts from 1 along the global order.
 
-    Only shingles of two classes or more are kept; the others come first in the order and only count in ``n``.
+    The order is by df, then hash. A set's other shingles come first in it and only count in ``n`` and ``at``. Sets
+    of which too few shingles are shared are left out. The score is the mean logarithm of df.
     """
     flat = sets.select("cid", "n", F.explode("tokens").alias("token"))
     df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return (
-        flat.join(df, "token").groupBy("cid", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"), (F.sum(F.log("df")) / F.first("n")).alias("score"))
-        .where(F.size("order") * 100 >= F.col("n") * PERCENT)
+    whole = Window.partitionBy("cid")
+    shared = F.count(F.lit(1)).over(whole)
+    graded = flat.join(df.hint("shuffle_hash"), "token").select(
+        "cid", "n", "token", "df", shared.alias("shared"), (F.sum(F.log("df")).over(whole) / F.col("n")).alias("score"),
+        F.row_number().over(whole.orderBy("df", "token")).alias("r"),
     )
+    kept = graded.where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    return kept.select("cid", "n", "token", "df", (F.col("n") - F.col("shared") + F.col("r")).alias("at"), "score")
 
 
-def _place(x):
-    """A number that grows along the global order: df, then the hash as a fraction."""
-    return x["df"] + (x["token"].cast("double") / F.lit(float(1 << 64)) + 0.5)
-
-
-def _segments(ordered: DataFrame, fragments: int) -> DataFrame:
+def _segments(graded: DataFrame, fragments: int) -> DataFrame:
     """(cid, fragment, segment): each set cut at the pivots of the global order."""
-    places = ordered.select(F.explode(F.transform("order", _place)).alias("p"))
+    place = F.col("df") + (F.col("token").cast("double") / F.lit(float(1 << 64)) + 0.5)
     share = [i / fragments for i in range(1, fragments)]
-    pivots = places.agg(F.percentile_approx("p", share, 1000)).first()[0] or []
-    cuts = [F.lit(0), *(F.size(F.filter("order", lambda x, p=p: _place(x) < F.lit(p))) for p in sorted(set(pivots))), F.size("order")]
-    parts = [
-        F.struct(F.lit(i).alias("fragment"), F.slice(F.col("order.token"), a + 1, b - a).alias("segment"))
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ]
-    return ordered.select("cid", F.explode(F.array(*parts)).alias("s")).select("cid", "s.*").where(F.size("segment") > 0)
+    pivots = graded.agg(F.percentile_approx(place, share, 1000)).first()[0] or []
+    fragment = sum(((place >= F.lit(p)).cast("int") for p in sorted(set(pivots))), F.lit(0))
+    return graded.groupBy("cid", fragment.alias("fragment")).agg(F.collect_list("token").alias("segment"))
 
 
-def _postings(ordered: DataFrame) -> DataFrame:
-    """(token, cid, n, at, score) for the shared shingles of each set's prefix; ``at`` counts from 1 in the whole set."""
-    alone = F.col("n") - F.size("order")
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    keep = F.greatest(F.lit(0), length - alone).cast("int")
-    rows = ordered.select("cid", "n", "score", alone.alias("alone"), F.posexplode(F.slice(F.col("order.token"), F.lit(1), keep)).alias("i", "token"))
-    return rows.select("token", "cid", "n", "score", (F.col("alone") + F.col("i") + 1).alias("at"))
+def _postings(graded: DataFrame) -> DataFrame:
+    """(token, cid, n, score, at) for the shared shingles of each set's prefix."""
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return graded.where(F.col("at") <= prefix).select("token", "cid", "n", "score", "at")
 
 
 def _possible():
@@ -165,12 +144,19 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with the component of their class, of the shingles that still touch two components."""
+    """Postings with the component of their class, of the shingles that can still link two components.
+
+    If two sets link, their first shared shingle stands within the first
+    seventh of one of them at least (the places sum to no more than
+    (nx + ny) / 7 + 2, or the rest of one set is too short for the overlap). So
+    a shingle that is nowhere early links nothing.
+    """
     if labels is None:
         rows = postings.withColumn("label", F.col("cid"))
     else:
         rows = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    rows = rows.withColumn("early", (F.col("at") - 1) * (100 + PERCENT) <= F.col("n") * (100 - PERCENT))
+    open_ = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("some")).where("lo <> hi and some").select("token")
     return rows.join(open_, "token", "left_semi")
 
 
@@ -183,15 +169,25 @@ def _hub_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _other_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of a shingle's classes that lie in different components.
+    """All pairs of a shingle's classes that lie in different components and may link by it.
 
-    Components are paired before their classes, so that no pair inside a component is looked at.
+    Components are paired before their classes, and only those whose longest
+    rest can reach the overlap, so that no pair inside a component is looked at.
+    The smaller component's classes are taken first. One of the two classes has
+    the shingle early.
     """
-    here = rows.select("token", "label").distinct()
-    meet = here.alias("p").join(here.select("token", F.col("label").alias("other")).alias("q"), "token").where("label < other")
-    left = rows.alias("x").join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.label") == F.col("m.label")))
-    both = left.join(rows.alias("y"), (F.col("y.token") == F.col("m.token")) & (F.col("y.label") == F.col("m.other")))
-    return _flat_pairs(both.where(_possible()).select(*_pair()))
+    facts = [F.max(F.col("n") - F.col("at") + 1).alias("rest"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members")]
+    p = rows.where("early").groupBy("token", "label").agg(*facts).alias("p")
+    q = rows.groupBy("token", "label").agg(*facts).alias("q")
+    able = _enough(F.col("p.least"), F.col("q.least"), F.least("p.rest", "q.rest"))
+    meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & able)
+    meet = meet.select(F.col("p.token").alias("token"), F.col("p.label").alias("lp"), F.col("q.label").alias("lq"), (F.col("p.members") < F.col("q.members")).alias("p_first")).alias("m")
+    x, y = rows.where("early").alias("x"), rows.alias("y")
+    at_x = (F.col("x.token") == F.col("m.token")) & (F.col("x.label") == F.col("m.lp"))
+    at_y = (F.col("y.token") == F.col("m.token")) & (F.col("y.label") == F.col("m.lq"))
+    one = meet.where("p_first").join(x, at_x).join(y, at_y & _possible()).select(*_pair())
+    two = meet.where("not p_first").join(y, at_y).join(x, at_x & _possible()).select(*_pair())
+    return _flat_pairs(one.unionByName(two))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FRAGMENTS) -> DataFrame:
@@ -204,11 +200,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
     sketches = scratch.materialize(_sketches(rows, size), "sketches")
     classes = scratch.materialize(
         sketches.where("n > 0").groupBy("d1", "d2")
-        .agg(F.min("row_key").alias("cid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min("row_key").alias("cid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first(F.size("fragment")).alias("here"), F.count(F.lit(1)).alias("copies")),
         "classes",
     )
     able = scratch.materialize(_may_link(sketches, classes), "able")
     scratch.settle(spark)
+    # the fragments aren't needed any more
+    sizes = scratch.materialize(sketches.drop("fragment"), "sizes")
+    scratch.discard(sketches)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -218,9 +217,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
     chosen = rows.join(able.select(F.col("cid").alias("row_key")).hint("shuffle_hash"), "row_key", "left_semi").dropDuplicates(["row_key"])
     sets = scratch.materialize(map_arrow(chosen.select("row_key", "text"), full, "cid long, n long, tokens array<long>"), "sets")
     scratch.settle(spark)
-    ordered = scratch.materialize(_ordered(sets), "ordered")
-    segments = scratch.materialize(_segments(ordered, fragments), "segments")
-    postings = _postings(ordered)
+    graded = scratch.materialize(_graded(sets), "graded")
+    scratch.discard(sets)
+    scratch.settle(spark)
+    segments = scratch.materialize(_segments(graded, fragments), "segments")
+    postings = _postings(graded)
     links, labels, tested = None, None, None
     for k in range(HUB_ROUNDS + 1):
         found = scratch.materialize(_labelled(postings, labels), "postings")
@@ -240,7 +241,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     ids = named.select("d1", "d2", "label").join(least, "label").select("d1", "d2", "component_id")
-    joined = sketches.select("doc_id", "row_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
+    joined = sizes.select("doc_id", "row_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
     return joined.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -252,9 +253,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: of the one with the smallest id, the first copy."""
     found = jaccard_components(docs)
-    stay = found.where("n_shingles = 0 or doc_id = component_id or component_id is null").select("doc_id", "row_key").distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(stay.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    stay = found.where("n_shingles = 0 or doc_id = component_id or component_id is null").select("row_key").distinct()
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(stay.withColumnRenamed("row_key", key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 SQL = rf"""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, UPPER, WHITE, lower_az, table
+from tessera.llm.common import LOWER, UPPER, WHITE, fresh, lower_az, table
 
 #: Keys of at least so many code points, in at least so many documents, lose their lines.
 LEAST_CHARS, LEAST_DOCS = 1, 10
@@ -82,28 +82,35 @@ def _kept(lines: Column, bitmap: Column) -> Column:
     return F.array_join(F.when(bitmap.isNull(), lines).otherwise(F.filter(lines, stays)), "\n")
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """All columns of ``docs``, and _lines (before), _dropped and _kept (the text of the lines that stay)."""
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    maps = drop_bitmaps(docs, least_docs, least_chars).withColumnsRenamed({"row_key": "_row_key", "bitmap": "_bitmap"})
-    joined = keyed.join(maps.hint("shuffle_hash"), "_row_key", "left")
+def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
+    """All columns of ``docs``, and, under ``names``: the lines before, the lines dropped, and the text of those that stay."""
+    key, bitmap = fresh(docs, "row_key"), fresh(docs, "bitmap")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    maps = drop_bitmaps(docs, least_docs, least_chars).withColumnsRenamed({"row_key": key, "bitmap": bitmap})
+    joined = keyed.join(maps.hint("shuffle_hash"), key, "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    dropped = F.aggregate(F.map_values("_bitmap"), F.lit(0).cast("bigint"), lambda a, x: a + F.bit_count(x))
-    out = joined.withColumn("_lines", F.size(lines).cast("long")).withColumn("_dropped", F.coalesce(dropped, F.lit(0).cast("bigint"))).withColumn("_kept", _kept(lines, F.col("_bitmap")))
-    return out.drop("_row_key", "_bitmap")
+    dropped = F.aggregate(F.map_values(bitmap), F.lit(0).cast("bigint"), lambda a, x: a + F.bit_count(x))
+    total, gone, kept = names
+    return joined.select(
+        *docs.columns, F.size(lines).cast("long").alias(total), F.coalesce(dropped, F.lit(0).cast("bigint")).alias(gone), _kept(lines, F.col(bitmap)).alias(kept)
+    )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; keys of one code point or more in ten documents or more."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the frequent lines; all documents stay, and n_chars follows the text."""
-    out = dedup_lines(docs)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    names = tuple(fresh(docs, n) for n in ("n_lines", "n_dropped", "kept"))
+    out = dedup_lines(docs, names=names)
+    kept, gone = F.col(names[2]), F.col(names[1]) > 0
+    changed = {"text": F.when(gone, kept).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(gone, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 SQL = rf"""
