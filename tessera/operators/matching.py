@@ -48,8 +48,7 @@ def shingles(rows: DataFrame, size: int, longest: int | None = None) -> DataFram
 
 def body_anchors(bodies: DataFrame, pages: DataFrame, size: int = 8, longest: int = 128) -> DataFrame:
     """key, start, page: the first run of tokens of a body that stands on exactly one page."""
-    where = shingles(pages, size).select("shingle", "page").distinct()
-    hits = shingles(bodies, size, longest).join(where, "shingle")
+    hits = shingles(bodies, size, longest).join(shingles(pages, size).select("shingle", "page"), "shingle")
     only = hits.groupBy("key", "start").agg(F.min("page").alias("page"), F.max("page").alias("other")).where("page = other")
     return only.groupBy("key").agg(F.min("start").alias("start"), F.min_by("page", "start").alias("page"))
 
@@ -57,13 +56,14 @@ def body_anchors(bodies: DataFrame, pages: DataFrame, size: int = 8, longest: in
 def phrase_pages(blocks: DataFrame, pages: DataFrame, size: int = 3) -> DataFrame:
     """key and page of blocks whose fingerprint is part of exactly one page's, by whole tokens.
 
-    Candidates share the block's first run of tokens; the whole phrase is looked for on those pages only.
+    Candidate pages hold the block's first run of tokens; the whole phrase is looked for on those only. Page texts
+    stay out of the candidate join.
     """
     b = blocks.select("key", T.fingerprint(F.col("text")).alias("fp")).where(T.has_page_evidence(F.col("fp")))
-    first = b.select("key", "fp", F.array_join(F.slice(F.split("fp", " "), 1, size), " ").alias("shingle")).where(F.size(F.split("fp", " ")) >= size)
-    p = pages.select("page", "text", T.fingerprint(F.col("text")).alias("pf"))
-    at = shingles(p.select("page", "pf", "text"), size).select("page", "pf", "shingle").distinct()
-    hits = first.join(at, "shingle").where(F.contains(F.concat(F.lit(" "), "pf", F.lit(" ")), F.concat(F.lit(" "), "fp", F.lit(" "))))
+    first = b.select("key", F.array_join(F.slice(F.split("fp", " "), 1, size), " ").alias("shingle")).where(F.size(F.split("fp", " ")) >= size)
+    near = shingles(pages.select("page", "text"), size).select("page", "shingle").join(first, "shingle").select("key", "page").distinct()
+    fps = pages.select("page", T.fingerprint(F.col("text")).alias("pf"))
+    hits = near.join(b, "key").join(fps, "page").where(F.contains(F.concat(F.lit(" "), "pf", F.lit(" ")), F.concat(F.lit(" "), "fp", F.lit(" "))))
     return hits.groupBy("key").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
