@@ -10,9 +10,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType  # a type, not a name: workers import this module without a session
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full case folding (ß becomes ss)."""
     return s.map(lambda x: None if x is None else " ".join(x.split()).casefold())
@@ -23,7 +24,7 @@ def normalize_term_text(value: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value)).strip(" \t\r\n,;:.").casefold()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_term(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else normalize_term_text(x))
 
@@ -33,7 +34,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_digest(s: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of a JSON text; null if it isn't finite JSON."""
 
@@ -46,7 +47,7 @@ def json_digest(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def reduced_ratio(w: pd.Series, h: pd.Series) -> pd.Series:
     """width:height in lowest terms; null unless both are positive."""
 
@@ -80,6 +81,6 @@ def normalize_tex_text(value: str) -> str:
     return " ".join(x.split())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_tex(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else normalize_tex_text(x))

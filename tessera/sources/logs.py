@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: The fields of an event.
-EVENT = StructType.fromDDL("schema_version string, run_id string, sequence long, event_id string, emitted_at string, event string, data string")
+EVENT = "schema_version string, run_id string, sequence long, event_id string, emitted_at string, event string, data string"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
