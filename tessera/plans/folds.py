@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import json_digest, normalize_term, normalize_tex, reduced_ratio
-from tessera.operators import folds
+from tessera.operators import blocks, folds
 from tessera.plans.registry import query, table
+from tessera.sources import containers
 
 
 @query("sk6_circuit_breaker")
@@ -73,3 +74,40 @@ def st8_normalized_tex(spark, d):
 @query("sx3_reduced_ratio")
 def sx3_reduced_ratio(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reduced_ratio(F.col("l_quantity").cast("long"), (F.col("l_partkey") % 60).cast("long")).alias("ratio"))
+
+
+@query("w14_equation_rows", """WITH r AS (SELECT user_id AS doc_id, event_id AS "row", CASE WHEN event_type = 'purchase' THEN 't' END AS tag FROM events),
+n AS (SELECT doc_id, "row", last_value(CASE WHEN tag IS NOT NULL THEN "row" END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS b, first_value(CASE WHEN tag IS NOT NULL THEN "row" END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY "row"))
+SELECT doc_id, "row", CASE WHEN b IS NULL THEN a WHEN a IS NULL OR "row" - b <= a - "row" THEN b ELSE a END AS "group" FROM n""")
+def w14_equation_rows(spark, d):
+    e = table(spark, d, "events")
+    return blocks.equation_rows(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("row"), F.when(F.col("event_type") == "purchase", "t").alias("tag")))
+
+
+@query("a10_distinct_candidates", "SELECT conv_id AS task_id, sha256(text) AS digest, min(turn) AS ordinal, bool_or(role = 'assistant') AS terminal FROM conversations GROUP BY ALL")
+def a10_distinct_candidates(spark, d):
+    c = table(spark, d, "conversations")
+    return blocks.distinct_candidates(c.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("ordinal"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), (F.col("role") == "assistant").alias("terminal")))
+
+
+@query("a7_visible_content", "SELECT user_id AS doc_id, count(*) FILTER (event_type = 'view') AS emitted, count(*) FILTER (event_type = 'click') AS excluded, count(*) FILTER (event_type = 'signup') AS opaque, count(*) FILTER (event_type NOT IN ('view', 'click', 'signup')) AS unaccounted FROM events GROUP BY user_id")
+def a7_visible_content(spark, d):
+    t = F.col("event_type")
+    disposition = F.when(t == "view", "emitted").when(t == "click", "excluded").when(t == "signup", "opaque")
+    return blocks.visible_content(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), disposition.alias("disposition")))
+
+
+@query("sk7_provider_streams")
+def sk7_provider_streams(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.to_json(F.struct(F.when(F.col("role") == "assistant", "result").otherwise("text").alias("type"), "text"))
+    data = F.concat(line, F.lit("\n"), F.when(F.col("turn") == 1, '{"type": "completed"}\n').otherwise(""))
+    return containers.accumulated(c.select(F.col("conv_id").alias("task_id"), F.col("turn").cast("int").alias("chunk_index"), data.cast("binary").alias("data")))
+
+
+@query("sc9_outlines")
+def sc9_outlines(spark, d):
+    c = table(spark, d, "conversations")
+    node = F.struct(F.col("turn").alias("page"), F.substring("text", 1, 20).alias("title"))
+    g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.to_json(F.array_sort(F.collect_list(node))).alias("outline"))
+    return containers.outlines(g)
