@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.parse import html, markdown, spans, tex
+from tessera.parse import html, markdown, rich, spans, tex
 
 PARSERS = {"html": html, "markdown": markdown, "tex": tex}
 
@@ -53,14 +53,28 @@ def terms(source: DataFrame) -> DataFrame:
 
 
 def blocks(source: DataFrame) -> DataFrame:
-    """Blocks of Markdown; other formats are unsupported here."""
+    """Blocks in order, of all three formats; lines are known for Markdown only."""
 
     def of(k: str, t: str) -> list[tuple]:
-        if k != "markdown":
-            raise ValueError(k)
-        return [(i, b.kind, b.line, b.end, b.level, b.text) for i, b in enumerate(markdown.blocks(t))]
+        if k == "markdown":
+            return [(i, b.kind, b.line, b.end, b.level, None, None, b.text) for i, b in enumerate(markdown.blocks(t))]
+        found = rich.html_blocks(t) if k == "html" else rich.tex_blocks(t)
+        return [(i, b.kind, None, None, b.level, b.role, b.caption, b.text) for i, b in enumerate(found)]
 
-    return _rows(source, "doc_id long, ordinal int, kind string, line int, end int, level int, text string, error string", of)
+    return _rows(source, "doc_id long, ordinal int, kind string, line int, end int, level int, role string, caption string, text string, error string", of)
+
+
+def segments(pages: DataFrame) -> DataFrame:
+    """Inline segments of the paragraphs of pages."""
+    return _rows(pages, "doc_id long, block int, ordinal int, kind string, text string, target string, error string", lambda k, t: [(i, j, *s) for i, b in enumerate(rich.html_blocks(t)) if b.kind == "paragraph" for j, s in enumerate(b.parts)])
+
+
+def notes(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, anchor string, marker string, body string, error string", lambda k, t: rich.notes(t))
+
+
+def authors(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, name string, orcid string, affiliations array<string>, error string", lambda k, t: rich.authors(t))
 
 
 def dependencies(pages: DataFrame) -> DataFrame:

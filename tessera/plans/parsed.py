@@ -59,3 +59,28 @@ def mp8_markdown_blocks(spark, d):
 @query("mp4_tex_sections")
 def mp4_tex_sections(spark, d):
     return frames.sections(documents(spark, d).withColumn("format", F.lit("tex")))
+
+
+@query("mp9_tex_blocks")
+def mp9_tex_blocks(spark, d):
+    return frames.blocks(documents(spark, d).withColumn("format", F.lit("tex")))
+
+
+@query("mp10_html_blocks")
+def mp10_html_blocks(spark, d):
+    return frames.blocks(pages(spark, d))
+
+
+@query("mp15_authors")
+def mp15_authors(spark, d):
+    return frames.authors(pages(spark, d))
+
+
+@query("mp16_notes")
+def mp16_notes(spark, d):
+    return frames.notes(pages(spark, d))
+
+
+@query("mp21_inline_segments")
+def mp21_inline_segments(spark, d):
+    return frames.segments(pages(spark, d))

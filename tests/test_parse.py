@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.parse import frames, html, markdown, spans, tex
+from tessera.parse import frames, html, markdown, rich, spans, tex
 
 MD = """---
 keywords: [alpha, "beta"]
@@ -70,3 +70,40 @@ def test_errors_are_rows(spark):
     assert got == {(1, "A", None), (2, "Document", None), (3, None, "unsupported_source"), (4, None, "unsupported_include")}
     assert {(r.doc_id, r.error) for r in frames.formulas(df.where("doc_id < 3")).collect()} == {(2, "unclosed_span")}
     assert {(r.doc_id, r.kind, r.error) for r in frames.blocks(df.where("doc_id < 3")).collect()} == {(1, "heading", None), (1, "paragraph", None), (2, None, "unclosed_span")}
+
+
+RICH = """<article><h1>T</h1><h2>Abstract</h2><p>one <b>two</b> <a href="x">l</a><a href="#fn1">1</a> <math alttext="y"></math></p>loose <i>text</i>
+<ul><li>a</li><li>b</li></ul><pre>x
+ y</pre><p><math alttext="z"></math></p><figure><img src="i.png"><figcaption>C</figcaption></figure><table><caption>K</caption><tr><td>1<td>2</table>
+<figure><img src="a"><img src="b"></figure><p><img src="s.png" alt="S"></p><aside id="fn1" class="note">body</aside></article>"""
+
+
+def test_rich_html():
+    got = rich.html_blocks(RICH)
+    assert [(b.kind, b.text, b.role, b.caption, b.placement) for b in got] == [
+        ("heading", "T", None, None, None), ("heading", "Abstract", "abstract", None, None), ("paragraph", "one two l1", None, None, None), ("paragraph", "loose text", None, None, None),
+        ("list", "a\nb", "bullet", None, None), ("code", "x\n y", None, None, None), ("equation", "z", None, None, None), ("figure", "C", "single", "C", "after"), ("table", "1\t2", None, "K", "before"),
+        ("figure", "", "panels", None, None), ("figure", "S", None, None, None), ("paragraph", "body", None, None, None),
+    ]
+    assert [s[0] for s in got[2].parts] == ["text", "mark:strong", "text", "link", "note", "text", "math"]
+    assert rich.notes(RICH) == [("fn1", "1", "body")]
+    head = "<meta name=citation_author content='A B'><meta name=citation_author_institution content=U><meta name=citation_author_orcid content='0000-0001-2345-678X'><meta name=citation_author content=C>"
+    assert rich.authors(head) == [(0, "A B", "0000-0001-2345-678X", ["U"]), (1, "C", None, [])]
+
+
+def test_rich_tex():
+    text = r"""\begin{document}\begin{abstract}An \emph{a} $x$.\end{abstract}
+\section{Acknowledgements}
+One.
+
+Two % c
+\begin{enumerate}\item a \item b\end{enumerate}\begin{align*}q\end{align*}\[r\]
+\begin{figure}\includegraphics[w]{f.png}\caption{A \textbf{c}}\end{figure}\begin{table}\begin{tabular}{cc}1 & 2 \\ \hline 3 & 4\end{tabular}\caption{K}\end{table}
+\begin{verbatim}\section{no}\end{verbatim}\end{document}"""
+    got = [(b.kind, b.text, b.role, b.caption) for b in rich.tex_blocks(text)]
+    assert got == [
+        ("heading", "Abstract", "abstract", None), ("paragraph", "An a $x$ .", None, None), ("heading", "Acknowledgements", "acknowledgements", None), ("paragraph", "One.", None, None), ("paragraph", "Two", None, None),
+        ("list", "a\nb", "ordered", None), ("equation", "q", None, None), ("equation", "r", None, None), ("figure", "A c", "single", "A c"), ("table", "1\t2\n3\t4", None, "K"), ("code", "\\section{no}", None, None),
+    ]
+    with pytest.raises(spans.Unclosed):
+        rich.tex_blocks("\\begin{align}x")
