@@ -10,8 +10,8 @@ fragment counts its own partial overlap, and the sum per pair decides.
 
 Candidate pairs share a shingle of both prefixes. They are not all listed:
 a shingle's classes are first compared with one hub, links are contracted to
-components, and only pairs that still lie in different components are listed
-after that. So a group of near copies costs pairs in proportion to its size,
+components, and after that only pairs that still lie in different components are
+listed, in parts, so that a link found in one part saves the rest. So a group of near copies costs pairs in proportion to its size,
 and no link between different components is missed.
 
 Defined results: a text of fewer words than a shingle is one shingle; null and
@@ -38,9 +38,11 @@ from tessera.llm.graph import components
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Rounds in which a shingle's classes are compared with a hub only.
 HUB_ROUNDS = 2
+#: Parts of the other pairs (of sixteen, by hash) that are tried one after another: one link is enough to join components.
+SLICES = ((0, 2), (2, 8), (8, 16))
 #: The first filter looks at the shingles in this share of the range of hashes.
 SHARE = 0.4
 #: Bits of a shingle's hash that the first filter counts; a clash there only lets more through.
@@ -168,13 +170,13 @@ def _hub_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _flat_pairs(pairs), rows.join(hubs.select("token", "cid"), ["token", "cid"], "left_anti").select("token", "cid", "n", "score", "at")
 
 
-def _other_pairs(rows: DataFrame) -> DataFrame:
+def _other_pairs(rows: DataFrame, part: tuple[int, int]) -> DataFrame:
     """All pairs of a shingle's classes that lie in different components and may link by it.
 
     Components are paired before their classes, and only those whose longest
     rest can reach the overlap, so that no pair inside a component is looked at.
     The smaller component's classes are taken first. One of the two classes has
-    the shingle early.
+    the shingle early. Of these pairs, a part by hash is returned.
     """
     facts = [F.max(F.col("n") - F.col("at") + 1).alias("rest"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members")]
     p = rows.where("early").groupBy("token", "label").agg(*facts).alias("p")
@@ -187,7 +189,8 @@ def _other_pairs(rows: DataFrame) -> DataFrame:
     at_y = (F.col("y.token") == F.col("m.token")) & (F.col("y.label") == F.col("m.lq"))
     one = meet.where("p_first").join(x, at_x).join(y, at_y & _possible()).select(*_pair())
     two = meet.where("not p_first").join(y, at_y).join(x, at_x & _possible()).select(*_pair())
-    return _flat_pairs(one.unionByName(two))
+    pairs = _flat_pairs(one.unionByName(two))
+    return pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES[-1][1])).between(part[0], part[1] - 1))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FRAGMENTS) -> DataFrame:
@@ -222,19 +225,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
     scratch.settle(spark)
     segments = scratch.materialize(_segments(graded, fragments), "segments")
     postings = _postings(graded)
-    links, labels, tested = None, None, None
-    for k in range(HUB_ROUNDS + 1):
+    labels, tested = None, None
+    for k in range(HUB_ROUNDS + len(SLICES)):
         found = scratch.materialize(_labelled(postings, labels), "postings")
         if found.isEmpty():
             break
-        pairs, postings = _hub_pairs(found) if k < HUB_ROUNDS else (_other_pairs(found), None)
+        if k < HUB_ROUNDS:
+            pairs, postings = _hub_pairs(found)
+        else:
+            # a pair belongs to one part, so after the last one each pair has been tested, or lay in one component
+            pairs, postings = _other_pairs(found, SLICES[k - HUB_ROUNDS]), found.select("token", "cid", "n", "score", "at")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.materialize(pairs, "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        new = _overlaps(pairs, segments).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = scratch.materialize(new if labels is None else new.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")), "links")
-        labels = components(links)
+        if k < HUB_ROUNDS:
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        new = scratch.materialize(_overlaps(pairs, segments).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        if not new.isEmpty():
+            old = None if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")
+            labels = components(new if old is None else new.unionByName(old))
         scratch.settle(spark)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
