@@ -35,14 +35,15 @@ def line_key(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(h1, h2, doc_id, row_key, position) of every line whose key is long enough.
+    """(h1, h2, salt, doc_id, row_key, position) of every line whose key is long enough.
 
     ``row_key`` is xxhash64(doc_id, text); rows alike in both share it.
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("t"))
     lines = rows.select("doc_id", "row_key", F.posexplode(F.split("t", "\n", -1)).alias("position", "line"))
     keyed = lines.select("doc_id", "row_key", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "row_key", "position")
+    salt = F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), salt, "doc_id", "row_key", "position")
 
 
 def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -50,9 +51,8 @@ def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     Of each document the stream through a sorted range counts the rows at the first position only.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(SALTS)).cast("int"))
     order = ["h1", "h2", "salt", "doc_id", "row_key"]
-    ranged = salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(*order, "position")
+    ranged = rows.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(*order, "position")
     w = Window.partitionBy(*order).orderBy("position")
     first = ranged.withColumn("first", (F.first("position").over(w) == F.col("position")).cast("int"))
     counts = first.groupBy("h1", "h2", "salt").agg(F.sum("first").alias("n")).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
@@ -65,7 +65,9 @@ def drop_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
     Bit b of word w is set if line w * 63 + b goes; lines without a set bit are kept.
     """
     rows = scratch.materialize(line_rows(docs, least_chars), "lines")
-    gone = rows.join(frequent_lines(rows, least_docs), ["h1", "h2"], "left_semi").select("row_key", "position")
+    # the few frequent hashes are repeated for each salt, so that the rows of a hot line meet them in several tasks
+    often = frequent_lines(rows, least_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = rows.join(often, ["h1", "h2", "salt"], "left_semi").select("row_key", "position")
     words = gone.groupBy("row_key", F.floor(F.col("position") / BITS).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, position % {BITS})")).alias("bits")
     )
