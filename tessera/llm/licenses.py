@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences, once with line ends as cuts and once across lines
-(for wrapped licence texts), and normalised. A sentence that is known has an
+Texts are cut into sentences, once with line ends as cuts, once across lines
+(for wrapped licence texts) and once across the lines of each paragraph, and
+normalised. A known sentence that has a cut inside, as after "free software:",
+is looked for in runs of neighbouring sentences. A sentence that is known has an
 identifier; the identifiers of a document, in order, are matched against
 ordered rules, each of which names a licence and a sequence of identifiers that
 must occur in that order (others may stand between). A rule is skipped if one
@@ -18,6 +20,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,10 @@ SENTENCES = {
 }
 #: Every sentence above has one of these.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant")
+#: The sentences above that have cuts inside, how many sentences they are cut into at most, and words of which each has one.
+CUT = ("apache-spdx", "mit-spdx", "gpl3-grant", "gpl2-grant", "gpl-spdx")
+CUT_PARTS = 3
+CUT_ANCHORS = ("spdx", "redistribute")
 #: Fixed values, in order: rule, licence, sentences in order, and the earlier rules that cover it.
 RULES = (
     ("apache-header", "Apache-2.0", ("apache-name-the", "apache-may-not", "apache-as-is"), ()),
@@ -77,19 +85,41 @@ RULES = (
 
 _END = r"[.!?;:]+([ \t\r\n\f\x0B]|\z)"
 _OTHER = r"[^a-z0-9]+"
+#: Line ends around lines without a letter or digit, as comment signs stay on blank lines.
+_BLANK = r"\n[^a-z0-9]*\n"
+
+
+def _library(ids: Iterable[str]) -> Column:
+    return F.create_map(*(F.lit(x) for i in ids for x in (SENTENCES[i], i)))
+
+
+def _normal(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, _OTHER, " "))
 
 
 def _known(text: Column) -> Column:
     """Identifiers of the known sentences of a lower-cased text, in order."""
-    library = F.create_map(*(F.lit(x) for pair in ((s, i) for i, s in SENTENCES.items()) for x in pair))
+    library, cut = _library(SENTENCES), _library(CUT)
     sentences = F.split(F.regexp_replace(text, _END, "\n"), "\n", -1)
-    near = F.filter(sentences, lambda s: _anchored(s))
-    return F.array_compact(F.transform(near, lambda s: F.try_element_at(library, F.trim(F.regexp_replace(s, _OTHER, " ")))))
+    near = F.filter(sentences, lambda s: _has(s, ANCHORS))
+    whole = F.array_compact(F.transform(near, lambda s: F.try_element_at(library, _normal(s))))
+    parts = F.filter(F.transform(sentences, _normal), lambda s: s != "")
+    # each with those after it; zipped, as a lambda that looks into the array would build it anew for each entry
+    runs = F.arrays_zip(parts, *(F.slice(parts, k + 1, 1 << 30) for k in range(1, CUT_PARTS)))
+
+    def of_run(run: Column) -> Column:
+        said, found = run["0"], [F.try_element_at(library, run["0"])]
+        for k in range(1, CUT_PARTS):
+            said = F.concat(said, F.lit(" "), run[str(k)])
+            found.append(F.try_element_at(cut, said))
+        return F.array_compact(F.array(*found))
+
+    return F.when(_has(text, CUT_ANCHORS), F.flatten(F.transform(runs, of_run))).otherwise(whole)
 
 
-def _anchored(text: Column) -> Column:
-    out = F.contains(text, F.lit(ANCHORS[0]))
-    for a in ANCHORS[1:]:
+def _has(text: Column, anchors: tuple[str, ...]) -> Column:
+    out = F.contains(text, F.lit(anchors[0]))
+    for a in anchors[1:]:
         out = out | F.contains(text, F.lit(a))
     return out
 
@@ -100,19 +130,24 @@ def _pattern(ids: tuple[str, ...]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence_ids (in order, by lines and then those found only across lines), rules and licences, as arrays."""
+    """doc_id, sentence_ids (in order, by lines, then those found only across lines, then those only within paragraphs), rules and licences, as arrays."""
     text = lower_az(F.coalesce("text", F.lit("")))
     none = F.array().cast("array<string>")
-    lower = docs.select("doc_id", text.alias("t")).withColumn("near", _anchored(F.col("t")))
-    by_line = F.when(F.col("near"), _known(F.col("t"))).otherwise(none)
-    across = F.when(F.col("near"), _known(F.translate("t", "\n", " "))).otherwise(none)
-    found = lower.select("doc_id", by_line.alias("by_line"), across.alias("across"))
-    ids = found.select("doc_id", F.concat("by_line", F.array_except("across", "by_line")).alias("sentence_ids"), *(
-        F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")).alias(f"s_{c}") for c in ("by_line", "across")))
+    lower = docs.select("doc_id", text.alias("t")).withColumn("near", _has(F.col("t"), ANCHORS))
+    one_line = lambda c: F.translate(c, "\n", " ")
+    readings = {
+        "by_line": F.when(F.col("near"), _known(F.col("t"))),
+        "across": F.when(F.col("near"), _known(one_line("t"))),
+        "paragraphs": F.when(F.col("near") & F.rlike("t", F.lit(_BLANK)), _known(one_line(F.regexp_replace("t", _BLANK, ".\n")))),
+    }
+    found = lower.select("doc_id", *(c.otherwise(none).alias(name) for name, c in readings.items()))
+    in_lines = F.concat("by_line", F.array_except("across", "by_line"))
+    ids = found.select("doc_id", F.concat(in_lines, F.array_except("paragraphs", in_lines)).alias("sentence_ids"), *(
+        F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")).alias(f"s_{c}") for c in readings))
     hit: dict[str, Column] = {}
     for rule, _, sequence, covered in RULES:
         p = F.lit(_pattern(sequence))
-        hit[rule] = F.rlike("s_by_line", p) | F.rlike("s_across", p)
+        hit[rule] = F.rlike("s_by_line", p) | F.rlike("s_across", p) | F.rlike("s_paragraphs", p)
         for c in covered:
             hit[rule] = hit[rule] & ~hit[c]
     rules = F.array_compact(F.array(*(F.when(h, F.lit(r)) for r, h in hit.items())))

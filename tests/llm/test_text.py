@@ -167,3 +167,69 @@ def test_licences(spark, rows):
     got = {(r.doc_id, r.licences and tuple(r.licences)) for r in licenses.scan(H.with_clashes(H.frame(spark, docs))).collect() if r.licences}
     assert got == {(50, ("MIT",)), (51, ("CC-BY-NC-4.0", "Proprietary"))}
     assert licenses.scan(H.frame(spark, docs)).count() == len(docs) and licenses.scan(H.frame(spark, [])).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """   Copyright 2020 X
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+GPL3 = """    X does things
+    Copyright (C) 2020  X
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version."""
+
+
+def test_canonical_licence_texts(spark):
+    commented = lambda t, sign: "\n".join(f"{sign} {x}".rstrip() for x in t.split("\n"))
+    texts = {
+        "mit-text": [MIT, MIT.replace("\n", "\r\n"), commented(MIT, "//")],
+        "apache-header": [APACHE, commented(APACHE, " *"), commented(APACHE, "#")],
+        "gpl3-text": [GPL3, commented(GPL3, "#"), GPL3.replace("\n", "\r\n")],
+        "gpl2-text": [GPL2, commented(GPL2, " *"), " ".join(GPL2.split())],
+        "mit-spdx": ["SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT\nimport os\n", "/* SPDX-License-Identifier: MIT */"],
+        "apache-spdx": ["// SPDX-License-Identifier: Apache-2.0\nint x;"],
+        "gpl3-spdx": ["x\n# SPDX-License-Identifier: GPL-3.0-or-later\n\ny"],
+        "": ["SPDX-License-Identifier: x\nMIT", "MIT", "This program is free software: you can redistribute it", "spdx license identifier"],
+    }
+    rows = [(t, rule) for rule, of in texts.items() for t in of]
+    got = licenses.scan(H.frame(spark, [(i, t, "", "", 0) for i, (t, _) in enumerate(rows)])).collect()
+    assert {r.doc_id: ",".join(r.rules) for r in got} == {i: rule for i, (_, rule) in enumerate(rows)}
