@@ -54,8 +54,8 @@ SENTENCES = {
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "reserved": "all rights reserved",
 }
-#: Every sentence above has one of these.
-ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant")
+#: Every sentence above has one of these within a word, where normalising changes nothing but case.
+ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant")
 #: The sentences above that have cuts inside, how many sentences they are cut into at most, and words of which each has one.
 CUT = ("apache-spdx", "mit-spdx", "gpl3-grant", "gpl2-grant", "gpl-spdx")
 CUT_PARTS = 3

@@ -233,3 +233,17 @@ def test_canonical_licence_texts(spark):
     rows = [(t, rule) for rule, of in texts.items() for t in of]
     got = licenses.scan(H.frame(spark, [(i, t, "", "", 0) for i, (t, _) in enumerate(rows)])).collect()
     assert {r.doc_id: ",".join(r.rules) for r in got} == {i: rule for i, (_, rule) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("anchors", [licenses.ANCHORS, licenses.CUT_ANCHORS])
+def test_licence_anchors_are_within_words(anchors):
+    assert all(a.isascii() and a.isalnum() and a.islower() for a in anchors)
+
+
+def test_licence_anchors_lose_nothing(spark):
+    texts = ["All rights\nreserved.", "All rights  reserved", "x. All rights\u00a0reserved", "ALL RIGHTS, RESERVED", "All rights\r\nreserved.", "all\nrights\nreserved!\nx"]
+    # each known sentence as its words on lines of their own, and with signs between them
+    known = list(licenses.SENTENCES.items())
+    rows = [("reserved", t) for t in texts] + [(i, s.replace(" ", sep)) for i, s in known for sep in ("\n", ", ", "\r\n", "\u00a0")]
+    got = licenses.scan(H.frame(spark, [(k, t, "", "", 0) for k, (_, t) in enumerate(rows)])).collect()
+    assert {r.doc_id: r.sentence_ids for r in got} == {k: [i] for k, (i, _) in enumerate(rows)}
