@@ -33,13 +33,13 @@ def a20_bundle_budget(spark, d):
 @query("j1_reconcile")
 def j1_reconcile(spark, d):
     c = table(spark, d, "conversations")
-    spans = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("role").alias("kind"), F.substring("text", 1, 12).alias("tex"), F.lit("").alias("label"), F.lit("").alias("context"))
+    spans = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("role").alias("kind"), F.col("text").alias("tex"), F.lit("").alias("label"), F.lit("").alias("context"))
     return folds.reconcile(spans, spans.where("(doc_id + ordinal) % 4 <> 0"))
 
 
 @query("w16_outline_alignment")
 def w16_outline_alignment(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.substring("text", 1, 3).alias("title"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("text").alias("title"))
     return folds.aligned(c, c.where("ordinal % 3 <> 1"))
 
 
@@ -108,6 +108,6 @@ def sk7_provider_streams(spark, d):
 @query("sc9_outlines")
 def sc9_outlines(spark, d):
     c = table(spark, d, "conversations")
-    node = F.struct(F.col("turn").alias("page"), F.substring("text", 1, 20).alias("title"))
+    node = F.struct(F.col("turn").alias("page"), F.col("text").alias("title"))
     g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.to_json(F.array_sort(F.collect_list(node))).alias("outline"))
     return containers.outlines(g)

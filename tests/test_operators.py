@@ -167,3 +167,15 @@ def test_json_output_candidates(spark):
     df = spark.createDataFrame([(1, 'x {"k": 1} {"k": "no"}'), (2, None)], "id long, text string")
     got = folds.json_candidates(df, {"type": "object", "properties": {"k": {"type": "integer"}}}).collect()
     assert [(r.id, json.loads(r.value), r.valid) for r in got] == [(1, {"k": 1}, True), (1, {"k": "no"}, False)]
+
+
+def test_folds_take_whole_texts(spark, tmp_path):
+    from tessera.plans import all_queries
+
+    long = "the same beginning of a text, longer than any title " * 3
+    spark.createDataFrame([(0, k, "user", long + str(k)) for k in range(4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = {q: all_queries()[q](spark, str(tmp_path)).collect() for q in ("j1_reconcile", "sc9_outlines", "w16_outline_alignment")}
+    # turn 0 has no twin, and mustn't take that of turn 1; turn 1 isn't a heading
+    assert {(r.ordinal, r.status, r.validator) for r in rows["j1_reconcile"]} == {(0, "missing", None)} | {(k, "verified", k) for k in (1, 2, 3)}
+    assert [(r.entry, r.heading, r.error) for r in rows["w16_outline_alignment"]] == [(k, k, None) for k in (0, 2, 3)]
+    assert {r.title for r in rows["sc9_outlines"]} == {long + str(k) for k in range(4)}
