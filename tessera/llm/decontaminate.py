@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, UPPER, alnum_words, map_arrow, rows_of, table
+from tessera.llm.common import LOWER, UPPER, alnum_words, fresh, map_arrow, rows_of, table
 
 WINDOW = 10
 #: Tokens of a segment; a longer document is a segment of its own.
@@ -250,9 +250,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark phrase; the others stay as they are."""
-    index = scratch.materialize(build_index(docs), "postings")
-    bad = phrase_hits(index, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    # rows are dropped by key, as ids may be null or repeated
+    index = scratch.materialize(build_index(keyed.select(F.col(key).alias("doc_id"), "text")), "postings")
+    bad = phrase_hits(index, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -198,6 +198,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
 
     ``row_key`` is xxhash64(doc_id, text).
     """
+    return labelled_components(docs, size, fragments).drop("label")
+
+
+def labelled_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FRAGMENTS) -> DataFrame:
+    """``jaccard_components`` with label, which tells components apart whatever their ids; null without shingles."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     sketches = scratch.materialize(_sketches(rows, size), "sketches")
@@ -249,9 +254,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FR
         labels = spark.createDataFrame([], "node long, label long")
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    ids = named.select("d1", "d2", "label").join(least, "label").select("d1", "d2", "component_id")
+    ids = named.select("d1", "d2", "label").join(least, "label").select("d1", "d2", "label", "component_id")
     joined = sizes.select("doc_id", "row_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
-    return joined.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,9 +265,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: of the one with the smallest id, the first copy."""
-    found = jaccard_components(docs)
-    stay = found.where("n_shingles = 0 or doc_id = component_id or component_id is null").select("row_key").distinct()
+    """One document of each component stays: the one with the smallest id (null only where there is no other), of several the one with the smallest row_key."""
+    found = labelled_components(docs)
+    first = found.where("n_shingles = 0 or doc_id <=> component_id").withColumn("own", F.when(F.col("n_shingles") == 0, F.col("row_key")))
+    stay = first.groupBy("label", "own").agg(F.min("row_key").alias("row_key")).select("row_key")
     key = fresh(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     return keyed.join(stay.withColumnRenamed("row_key", key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

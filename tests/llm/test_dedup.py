@@ -101,3 +101,22 @@ def test_empty_tables(spark):
     assert decontaminate.phrase_hits(decontaminate.build_index(none), items).count() == 0
     some = H.frame(spark, [(1, "a b", "", "", 0)])
     assert [r.n_hit for r in decontaminate.phrase_hits(decontaminate.build_index(some), items).collect()] == [0]
+
+
+def test_stages_tell_rows_without_ids_apart(spark, tmp_path):
+    rng = random.Random(6)
+    item, base = " ".join(H.words(rng, 12, 4000)), H.words(rng, 80, 4000)
+    clean = [" ".join(H.words(rng, 40, 4000)) for _ in range(3)]
+    near = [" ".join([*base, f"tail{k}"]) for k in range(3)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hit = [(None, f"x {item} y", "", "", 0), (7, f"z {item}", "", "", 0)]
+    stay = [(None, clean[0], "", "", 0), (None, clean[1], "", "", 0), (7, clean[2], "", "", 0), (None, None, "", "", 0)]
+    docs = H.with_clashes(H.frame(spark, hit + stay))
+    kept = decontaminate.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and H.ordered((r.doc_id, r.text) for r in kept.collect()) == H.ordered(r[:2] for r in stay)
+    crowd = [(None, t, "", "", 0) for t in near]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.stage(spark, H.with_clashes(H.frame(spark, crowd + stay)), "").collect()]
+    assert sum(t in near for _, t in kept) == 1 and H.ordered(k for k in kept if k[1] not in near) == H.ordered(r[:2] for r in stay)
+    same_id = [(3, near[0], "", "", 0), (3, near[1], "", "", 0), (None, near[2], "", "", 0), (3, clean[0], "", "", 0)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.stage(spark, H.frame(spark, same_id), "").collect()]
+    assert len(kept) == 2 and {i for i, _ in kept} == {3} and (3, clean[0]) in kept
