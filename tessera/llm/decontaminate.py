@@ -114,7 +114,7 @@ class Segment:
 
     def near(self, words: tuple[bytes, ...], slop: int) -> list[tuple[int, int]]:
         """(position, span) of the tightest stretch around each posting of the rarest term that holds all words, in
-        any order, within len(words) + slop."""
+        any order, within len(words) + slop and within one document."""
         distinct = list(dict.fromkeys(words))
         if not distinct or any(w not in self.number for w in distinct):
             return []
@@ -122,7 +122,9 @@ class Segment:
         reach, found = len(words) + slop, set()
         for p in self.postings(distinct[0]):
             best = None
-            lists = [(a := self.postings(w))[np.searchsorted(a, p - reach + 1) : np.searchsorted(a, p + reach)] for w in distinct[1:]]
+            d = int(np.searchsorted(self.starts, p, "right"))
+            low, high = max(p - reach + 1, self.starts[d - 1]), min(p + reach, self.starts[d])
+            lists = [(a := self.postings(w))[np.searchsorted(a, low) : np.searchsorted(a, high)] for w in distinct[1:]]
             if any(not len(a) for a in lists):
                 continue
             for left in {int(p), *(int(x) for a in lists for x in a if x <= p)}:
@@ -225,8 +227,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, window: int = WINDOW,
                     for item, o, p in shared.value:
                         for at, span in seg.near(p, slop):
                             d = int(np.searchsorted(seg.starts, at, "right")) - 1
-                            if at + span <= seg.starts[d + 1] - 1:
-                                out.append((ids[d], item, o, at - int(seg.starts[d]), span))
+                            out.append((ids[d], item, o, at - int(seg.starts[d]), span))
                     yield dict(zip(("doc_id", "item_id", "item_offset", "position", "span"), zip(*out, strict=True), strict=True)) if out else {"doc_id": []}
 
         return map_arrow(index, search, _MATCHES)

@@ -92,6 +92,14 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id, r.position, r.span) for r in found] == [(1, "7", 1, 5)]
 
 
+def test_proximity_ends_with_the_document(spark):
+    texts = ["b x x a", "b", "a", "", "b y a", "b"]  # across the border after the first, a and b would be closer
+    docs = H.frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]).coalesce(1)
+    items = spark.createDataFrame([(7, "a b")], "item_id long, text string")
+    found = decontaminate.proximity_matches(decontaminate.build_index(docs), items, slop=2).collect()
+    assert sorted((r.doc_id, r.position, r.span) for r in found) == [(0, 0, 4), (4, 0, 3)]
+
+
 def test_empty_tables(spark):
     none = H.frame(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
