@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -45,9 +46,12 @@ def alnum_words(text: str | None) -> list[bytes]:
     return raw(text).translate(ALNUM_TABLE).split()
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, alike in every process."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+_SECOND = functools.partial(xxhash.xxh3_64_intdigest, seed=1)
+
+
+def hash_words(words: list[bytes], second: bool = False) -> np.ndarray:
+    """64-bit hashes of words, alike in every process; the first or second half of 128 bits."""
+    return np.fromiter(map(_SECOND if second else xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,6 +119,30 @@ def lower_az(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def row_keys(first: str, second: str) -> list[Column]:
+    """A 128-bit key of (doc_id, text) in two columns of the names given; rows alike in both share it."""
+    return [F.xxhash64("doc_id", "text").alias(first), F.xxhash64(F.lit(1), "doc_id", "text").alias(second)]
+
+
+#: A key with more than this share of all rows is hot; so there are at most HOT_SHARE hot keys, and they may be broadcast.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, by: list[str], how: str = "left_semi") -> DataFrame:
+    """``rows`` joined with ``keys``, of which each key is one row; no task gets more than about a thousandth of all rows of one key.
+
+    ``count`` in ``keys`` says how many rows a key has, and ``total`` is at least their sum. So no more than HOT_SHARE
+    keys can be hot, whatever the data; these are broadcast to the rows, which are dealt over parts by the hash of the
+    columns ``by``, and the key is repeated once a part. ``keys`` is read twice and should be a written table.
+    """
+    parts = F.ceil(F.col(count) * HOT_SHARE / max(total, 1)).cast("int")
+    hot = keys.where(F.col(count) * HOT_SHARE > total).select(*on, parts.alias("_parts"))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
+    each = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(each, [*on, "_part"], how).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

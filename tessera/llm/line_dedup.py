@@ -1,12 +1,13 @@
 """Line dedup by range-partitioned hashes, with keep bitmaps as the result.
 
-Every line becomes a row (128-bit hash of its key, document, position). The
-rows are partitioned by ranges of the hash and a salt taken from the document,
-and sorted by document and position within; a pass over each sorted range tells
-the first occurrence in a document from the others. First occurrences are
-counted per hash (the salts of a hot line are summed from one row each), and
-what is returned is, per document, the words of a bitmap of the lines to drop,
-without the words that are zero; no text moves with the hashes.
+Every line becomes a row (128-bit hash of its key, 128-bit key of its document,
+position). The rows are partitioned by ranges of hash and document, and sorted
+by them and by position within; a pass over each sorted range tells the first
+occurrence in a document from the others. As a range may end inside a hash, a
+line that most documents hold is spread over as many ranges as its rows need.
+First occurrences are counted per hash, one row a range and hash, and what is
+returned is, per document, a compressed bitmap of the lines that stay: a map
+of its words, without those that are all ones. No text moves with the hashes.
 
 Only DataFrame functions are used. Defined results: null and empty texts are
 one empty line, whose key is empty and never counted; repeated rows count as
@@ -20,12 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, UPPER, WHITE, fresh, lower_az, table
+from tessera.llm.common import LOWER, UPPER, WHITE, fresh, lower_az, row_keys, spread_join, table
 
 #: Keys of at least so many code points, in at least so many documents, lose their lines.
 LEAST_CHARS, LEAST_DOCS = 1, 10
-#: Parts over which the rows of one hash may be spread.
-SALTS = 16
 BITS = 63
 
 
@@ -35,63 +34,59 @@ def line_key(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(h1, h2, salt, doc_id, row_key, position) of every line whose key is long enough.
-
-    ``row_key`` is xxhash64(doc_id, text); rows alike in both share it.
-    """
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("t"))
-    lines = rows.select("doc_id", "row_key", F.posexplode(F.split("t", "\n", -1)).alias("position", "line"))
-    keyed = lines.select("doc_id", "row_key", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
-    salt = F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), salt, "doc_id", "row_key", "position")
+    """(h1, h2, k1, k2, position) of every line whose key is long enough; rows alike in id and text share (k1, k2)."""
+    rows = docs.select(*row_keys("k1", "k2"), F.coalesce("text", F.lit("")).alias("t"))
+    lines = rows.select("k1", "k2", F.posexplode(F.split("t", "\n", -1)).alias("position", "line"))
+    keyed = lines.select("k1", "k2", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "k1", "k2", "position")
 
 
 def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(h1, h2) of the hashes in the rows of ``line_rows`` that are found in enough documents.
+    """(h1, h2, n) of the hashes in the rows of ``line_rows`` that are found in enough documents.
 
     Of each document the stream through a sorted range counts the rows at the first position only.
     """
-    order = ["h1", "h2", "salt", "doc_id", "row_key"]
-    ranged = rows.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(*order, "position")
+    order = ["h1", "h2", "k1", "k2"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "position")
     w = Window.partitionBy(*order).orderBy("position")
     first = ranged.withColumn("first", (F.first("position").over(w) == F.col("position")).cast("int"))
-    counts = first.groupBy("h1", "h2", "salt").agg(F.sum("first").alias("n")).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least_docs).select("h1", "h2")
+    return first.groupBy("h1", "h2").agg(F.sum("first").alias("n")).where(F.col("n") >= least_docs)
 
 
-def drop_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(row_key, bitmap): for each document that loses lines, a map of the non-zero words of its bitmap.
+def keep_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(k1, k2, bitmap): for each document that loses lines, a map of the words of its bitmap that aren't all ones.
 
-    Bit b of word w is set if line w * 63 + b goes; lines without a set bit are kept.
+    Bit b of word w is set if line w * 63 + b stays.
     """
-    rows = scratch.materialize(line_rows(docs, least_chars), "lines")
-    # the few frequent hashes are repeated for each salt, so that the rows of a hot line meet them in several tasks
-    often = frequent_lines(rows, least_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = rows.join(often, ["h1", "h2", "salt"], "left_semi").select("row_key", "position")
-    words = gone.groupBy("row_key", F.floor(F.col("position") / BITS).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, position % {BITS})")).alias("bits")
-    )
-    return words.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
+    with scratch.owner() as made:
+        rows = scratch.materialize(line_rows(docs, least_chars), "lines")
+        often = scratch.materialize(frequent_lines(rows, least_docs), "often")
+        gone = spread_join(rows, often, ["h1", "h2"], "n", rows.count(), ["k1", "k2"]).select("k1", "k2", "position")
+        words = gone.groupBy("k1", "k2", F.floor(F.col("position") / BITS).cast("int").alias("word")).agg(
+            F.bitwise_not(F.bit_or(F.expr(f"shiftleft(1L, position % {BITS})"))).alias("bits")
+        )
+        bitmaps = words.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
+        out = scratch.materialize(bitmaps, "bitmaps")
+        made.keep(out)
+    return out
 
 
 def _kept(lines: Column, bitmap: Column) -> Column:
-    """The lines without a set bit, joined again."""
+    """The lines whose bit is set, joined again."""
 
     def stays(_, i):
-        bits = F.try_element_at(bitmap, F.floor(i / BITS).cast("int"))
-        return F.coalesce(F.getbit(bits, i % BITS), F.lit(0)) == 0
+        return F.coalesce(F.getbit(F.try_element_at(bitmap, F.floor(i / BITS).cast("int")), i % BITS), F.lit(1)) == 1
 
     return F.array_join(F.when(bitmap.isNull(), lines).otherwise(F.filter(lines, stays)), "\n")
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
     """All columns of ``docs``, and, under ``names``: the lines before, the lines dropped, and the text of those that stay."""
-    key, bitmap = fresh(docs, "row_key"), fresh(docs, "bitmap")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    maps = drop_bitmaps(docs, least_docs, least_chars).withColumnsRenamed({"row_key": key, "bitmap": bitmap})
-    joined = keyed.join(maps.hint("shuffle_hash"), key, "left")
+    k1, k2, bitmap = (fresh(docs, n) for n in ("k1", "k2", "bitmap"))
+    maps = keep_bitmaps(docs, least_docs, least_chars).withColumnsRenamed({"k1": k1, "k2": k2, "bitmap": bitmap})
+    joined = docs.select("*", *row_keys(k1, k2)).join(maps, [k1, k2], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    dropped = F.aggregate(F.map_values(bitmap), F.lit(0).cast("bigint"), lambda a, x: a + F.bit_count(x))
+    dropped = F.aggregate(F.map_values(bitmap), F.lit(0).cast("bigint"), lambda a, x: a + 64 - F.bit_count(x))
     total, gone, kept = names
     return joined.select(
         *docs.columns, F.size(lines).cast("long").alias(total), F.coalesce(dropped, F.lit(0).cast("bigint")).alias(gone), _kept(lines, F.col(bitmap)).alias(kept)
