@@ -5,15 +5,18 @@ both places, the same shorter window of lowest hash. So each passage is judged
 at a short length through that one window: only if it is repeated anywhere is
 the passage extended and judged again at twice the length, and so on until the
 full length is reached or no candidate survives. Each level counts hashes with
-map-side aggregation and finds the documents that hold a repeated one by a
-join, so that a passage in a third of all documents is neither gathered in one
-task nor paired with itself.
+map-side aggregation and finds the documents that hold a repeated one by a join
+that deals the rows of a hot hash over many tasks, so that a passage in a third
+of all documents is neither gathered in one task nor paired with itself.
+
+``repeat_lengths`` has no full length: it doubles until no window survives.
 
 Defined results: null and empty texts have no words and lose none; texts of
 fewer words than the window lose none; a repeated row is a document of its own
 and so repeats its windows; null ids are kept; other columns are ignored; an
-empty table gives no rows. Windows are told apart by 64-bit hashes of their
-word sequence.
+empty table gives no rows. Full windows are told apart by 128-bit hashes of
+their word sequence, shorter ones by 64 bits, as a clash there only lets a
+candidate through to the next level. Rows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import hash_words, map_arrow, rows_of, sha256, table, white_words, window_hashes
+from tessera.llm.common import hash_words, map_arrow, row_keys, rows_of, sha256, spread_join, table, white_words, window_hashes
 
 WINDOW = 35
 #: No level is shorter than this many words: shorter windows recur by chance.
-SHORTEST = 12
+SHORTEST = 8
 
 
 def level_lengths(window: int, shortest: int = SHORTEST) -> list[int]:
@@ -49,96 +52,159 @@ def lowest(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[width - span : width - span + n])
 
 
-def stand_ins(h: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of ``length`` words of a text, and for each passage of ``window`` words the lowest one inside."""
-    k = window_hashes(h, length)
-    return k, lowest(k, window - length + 1)
-
-
-def _counted(chosen: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """``chosen`` without repeats, but twice each one that occurs at several places of the text."""
-    v = np.unique(chosen)
-    at = np.minimum(np.searchsorted(v, k), len(v) - 1)
-    times = np.bincount(at[v[at] == k], minlength=len(v))
-    return np.repeat(v, np.minimum(times, 2))
-
-
-def _known(values: np.ndarray, repeated: list[int] | None) -> np.ndarray:
-    """Which values are among the repeated ones."""
-    if not repeated:
-        return np.zeros(len(values), bool)
-    r = np.sort(np.asarray(repeated, np.int64).view(np.uint64))
-    at = np.minimum(np.searchsorted(r, values), len(r) - 1)
-    return r[at] == values
+class Windows:
+    """The windows of one length in a text: the first half of their hashes and, if asked for, the second."""
+
+    def __init__(self, words: list[bytes], length: int, whole: bool):
+        self.first = window_hashes(hash_words(words), length)
+        self.second = window_hashes(hash_words(words, second=True), length) if whole else None
+
+    def repeated(self, known: tuple[list[int], list[int]]) -> np.ndarray:
+        """Which windows are among the known ones (halves of their hashes)."""
+        if not known[0] or not len(self.first):
+            return np.zeros(len(self.first), bool)
+        a = np.asarray(known[0], np.int64).view(np.uint64)
+        order = np.argsort(a)
+        a = a[order]
+        at = np.minimum(np.searchsorted(a, self.first), len(a) - 1)
+        hit = a[at] == self.first
+        if self.second is None:
+            return hit
+        b = np.asarray(known[1], np.int64).view(np.uint64)[order]
+        if (a[1:] != a[:-1]).all():
+            return hit & (b[at] == self.second)
+        pairs = set(zip(a.tolist(), b.tolist(), strict=True))  # first halves clash
+        for i in np.flatnonzero(hit):
+            hit[i] = (int(self.first[i]), int(self.second[i])) in pairs
+        return hit
+
+    def counted(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows at the places ``chosen``, each once, or twice if it stands at several places of the text."""
+        a = self.first
+        b = a if self.second is None else self.second
+        order = np.argsort(a, kind="stable") if self.second is None else np.lexsort((b, a))
+        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+        group = np.empty(len(a), np.int64)
+        group[order] = np.cumsum(new) - 1
+        heads, sizes = order[new], np.bincount(group)
+        picked = np.unique(group[chosen])
+        places = np.repeat(heads[picked], np.minimum(sizes[picked], 2))
+        none = np.empty(0, np.int64)
+        return a[places].view(np.int64), none if self.second is None else b[places].view(np.int64)
+
+
+def stand_ins(first: np.ndarray, window: int, length: int) -> np.ndarray:
+    """For each passage of ``window`` words, the hash of the lowest window of ``length`` words inside."""
+    return lowest(first, window - length + 1)
+
+
+def _candidates(words: list[bytes], window: int | None, shorter: int | None, length: int, known: tuple, whole: bool) -> tuple | None:
+    """The hashes of a text to be counted at a level, given those repeated at the level before."""
+    if len(words) < (window or length):
+        return None
+    now = Windows(words, length, whole)
+    alive = None
+    if shorter is not None:
+        was = Windows(words, shorter, whole and window is None)
+        if window is None:  # both halves of the longer window are repeated
+            ok = was.repeated(known)
+            alive = ok[: len(now.first)] & ok[length - shorter :]
+        else:
+            a = np.sort(np.asarray(known[0], np.int64).view(np.uint64))
+            low = stand_ins(was.first, window, shorter)
+            alive = a[np.minimum(np.searchsorted(a, low), len(a) - 1)] == low
+        if not alive.any():
+            return None
+    if window is None or length == window:
+        chosen = np.arange(len(now.first)) if alive is None else np.flatnonzero(alive)
+    else:
+        low = stand_ins(now.first, window, length)
+        chosen = np.flatnonzero(np.isin(now.first, low if alive is None else low[alive]))
+    return now.counted(chosen)
+
+
+_HASHES = "k1 long, k2 long, hashes array<long>, others array<long>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return docs.select("doc_id", "text", *row_keys("k1", "k2"))
+
 
+def _level(rows: DataFrame, state: DataFrame | None, window: int | None, shorter: int | None, length: int, whole: bool) -> DataFrame:
+    """The hashes to be counted at ``length`` of the rows that ``state`` (the level before) has, or of all."""
 
-def _repeated(emitted: DataFrame) -> DataFrame:
-    """(row_key, hashes array): of each text, the hashes that occur twice or more in all texts."""
-    flat = emitted.select("row_key", F.explode("hashes").alias("hash"))
-    often = flat.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return flat.join(often, "hash", "left_semi").groupBy("row_key").agg(F.collect_set("hash").alias("hashes"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict[str, list] = {"k1": [], "k2": [], "hashes": [], "others": []}
+            for k1, k2, text, *known in rows_of(batch, *names):
+                found = _candidates(white_words(text), window, shorter, length, tuple(known), whole)
+                if found is not None:
+                    for c, v in zip(out, (k1, k2, *found), strict=True):
+                        out[c].append(v)
+            yield out
+
+    names = ["k1", "k2", "text"] + ([] if state is None else ["hashes", "others"])
+    source = rows if state is None else rows.join(state, ["k1", "k2"])
+    return map_arrow(source.select(*names), run, _HASHES)
+
+
+def _repeated(emitted: DataFrame, whole: bool) -> DataFrame:
+    """(k1, k2, hashes, others): of each text, the hashes that occur twice or more in all texts."""
+    on = ["a", "b"] if whole else ["a"]
+    if whole:
+        flat = emitted.select("k1", "k2", F.explode(F.arrays_zip(F.col("hashes").alias("a"), F.col("others").alias("b"))).alias("x")).select("k1", "k2", "x.a", "x.b")
+    else:
+        flat = emitted.select("k1", "k2", F.explode("hashes").alias("a"))
+    often = scratch.materialize(flat.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    total = emitted.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    kept = spread_join(flat, often, on, "n", total, ["k1", "k2"]).select("k1", "k2", *on).distinct()
+    each = F.collect_list(F.struct(*on)).alias("x")
+    others = F.col("x.b") if whole else F.array().cast("array<bigint>")
+    return kept.groupBy("k1", "k2").agg(each).select("k1", "k2", F.col("x.a").alias("hashes"), others.alias("others"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """(row_key, hashes): of each text that has any, the hashes of its windows that occur twice or more.
+    """(k1, k2, hashes, others): of each text that has any, the halves of the hashes of its windows that occur twice or more.
 
-    ``row_key`` is xxhash64(doc_id, text).
+    (k1, k2) is the 128-bit key of (doc_id, text).
     """
     rows = _keyed(docs)
     lengths = level_lengths(window, shortest)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            keys, out = [], []
-            for key, text in rows_of(batch, "row_key", "text"):
-                words = white_words(text)
-                if len(words) >= window:
-                    k, low = stand_ins(hash_words(words), window, lengths[0])
-                    keys.append(key)
-                    out.append(_counted(low, k).view(np.int64))
-            yield {"row_key": keys, "hashes": out}
-
-    state = scratch.materialize(map_arrow(rows, first, "row_key long, hashes array<long>"), "windows")
-    for shorter, length in zip([None, *lengths], lengths, strict=False):
-        if shorter is not None:
-            state = _next(state, _extended(rows, state, window, shorter, length), "windows")
-        state = _next(state, _repeated(state), "repeated")
-        if length != window and state.isEmpty():
-            break
+    with scratch.owner() as made:
+        state = None
+        for shorter, length in zip([None, *lengths], lengths, strict=False):
+            whole = length == window
+            state = scratch.materialize(_level(rows, state, window, shorter, length, whole), "windows")
+            made.keep(state)
+            state = scratch.materialize(_repeated(state, whole), "repeated")
+            made.keep(state)
+            if state.isEmpty():
+                break
     return state
 
 
-def _next(old: DataFrame, new: DataFrame, tag: str) -> DataFrame:
-    """The table ``new`` in place of the ``old`` one that it was made of."""
-    table = scratch.materialize(new, tag)
-    del new  # else its shuffles stay
-    scratch.discard(old)
-    scratch.settle(old.sparkSession)
-    return table
-
-
-def _extended(rows: DataFrame, repeated: DataFrame, window: int, shorter: int, length: int) -> DataFrame:
-    """The windows of ``length`` words that stand for a passage whose shorter stand-in is repeated."""
+def repeat_lengths(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """doc_id and length: the greatest of shortest, 2 * shortest, 4 * shortest, … words of which the row has a repeated window.
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            keys, out = [], []
-            for key, text, known in rows_of(batch, "row_key", "text", "hashes"):
-                h = hash_words(white_words(text))
-                if len(h) < window:
-                    continue
-                alive = _known(stand_ins(h, window, shorter)[1], known)
-                k, low = stand_ins(h, window, length)
-                if alive.any():
-                    keys.append(key)
-                    out.append(_counted(low[alive], k).view(np.int64))
-            yield {"row_key": keys, "hashes": out}
-
-    return map_arrow(rows.join(repeated.hint("shuffle_hash"), "row_key"), extend, "row_key long, hashes array<long>")
+    A window of twice the length is a candidate if both its halves are repeated; the levels end when none is left.
+    Rows without a repeated window of ``shortest`` words are left out.
+    """
+    rows, reached, shorter, length, state = _keyed(docs), [], None, shortest, None
+    with scratch.owner() as made:
+        while True:
+            found = scratch.materialize(_repeated(scratch.materialize(_level(rows, state, None, shorter, length, True), "windows"), True), "repeated")
+            if found.isEmpty():
+                break
+            reached.append(scratch.materialize(found.select("k1", "k2", F.lit(length).alias("length")), "reached"))
+            made.keep(found, *reached)
+            state, shorter, length = found, length, 2 * length
+        made.keep(*reached)
+    if not reached:
+        return rows.select("doc_id", F.lit(0).alias("length")).limit(0)
+    longest = reached[0]
+    for r in reached[1:]:
+        longest = longest.unionByName(r)
+    return rows.join(longest.groupBy("k1", "k2").agg(F.max("length").alias("length")), ["k1", "k2"]).select("doc_id", "length")
 
 
 def covered_words(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -159,11 +225,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, counts, removed, kept = [], [], [], []
-            for doc_id, text, known in rows_of(batch, "doc_id", "text", "hashes"):
+            for doc_id, text, *known in rows_of(batch, "doc_id", "text", "hashes", "others"):
                 words = white_words(text)
                 gone = np.zeros(0, bool)
-                if known and len(words) >= window:
-                    gone = covered_words(len(words), _known(window_hashes(hash_words(words), window), known), window)
+                if known[0] and len(words) >= window:
+                    gone = covered_words(len(words), Windows(words, window, True).repeated(tuple(known)), window)
                 left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(gone) else words)
                 ids.append(doc_id)
                 counts.append(len(words))
@@ -171,13 +237,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
                 kept.append(sha256(left) if digests else left.decode("utf-8", "surrogatepass"))
             yield {"doc_id": ids, "n_words": counts, "n_removed": removed, "kept": kept}
 
-    joined = _keyed(docs).join(repeated.hint("shuffle_hash"), "row_key", "left")
+    joined = _keyed(docs).join(repeated, ["k1", "k2"], "left").select("doc_id", "text", "hashes", "others")
     out = map_arrow(joined, cut, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("kept", "kept_sha256") if digests else out
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, windows of 35 words."""
+    """All documents, windows of 35 words, judged at 9, 18 and 35."""
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 

@@ -2,10 +2,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm import helpers as H
 from tessera.llm import decontaminate, jaccard_join, line_dedup, substring_dedup
+from tessera.llm.common import hash_words, spread_join, window_hashes
 
 
 @pytest.fixture(scope="module", params=[1, 2])
@@ -48,6 +52,38 @@ def test_substring_levels(spark, rows, window, shortest):
     assert H.ordered(found.collect()) == H.ordered(H.without_repeats(rows, window))
 
 
+def test_substrings_tell_clashing_hashes_apart(rows, monkeypatch):
+    """With a first half of few bits the levels let more through, and the whole hash still decides."""
+    from collections import Counter
+
+    # the lowest bit of a text's hashes tells which half is meant: even ones, the first half, keep six bits only
+    monkeypatch.setattr(substring_dedup, "hash_words", lambda w, second=False: hash_words(w, second) & ~np.uint64(1) | np.uint64(second))
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, n: window_hashes(h, n) >> np.uint64(0 if h[0] & np.uint64(1) else 58))
+    texts = [substring_dedup.white_words(t) for _, t, *_ in rows]
+    known, shorter = [([], [])] * len(texts), None
+    for length in substring_dedup.level_lengths(35):
+        whole = length == 35
+        found = [substring_dedup._candidates(w, 35, shorter, length, k, whole) if shorter is None or k[0] else None for w, k in zip(texts, known, strict=True)]
+        pairs = [[] if f is None else list(zip(f[0].tolist(), (f[1] if whole else f[0]).tolist(), strict=True)) for f in found]
+        seen = Counter(p for own in pairs for p in own)
+        known = [([p[0] for p in set(own) if seen[p] > 1], [p[1] for p in set(own) if seen[p] > 1]) for own in pairs]
+        shorter = length
+    gone = [int(substring_dedup.covered_words(len(w), substring_dedup.Windows(w, 35, True).repeated(k), 35).sum()) if k[0] else 0 for w, k in zip(texts, known, strict=True)]
+    assert gone == [r[2] for r in H.without_repeats(rows)] and any(gone)
+
+
+def test_repeat_lengths(spark, rows):
+    want = []
+    for r in rows:
+        length = 0
+        while any(x[2] for x, y in zip(H.without_repeats(rows, 8 * 2**length), rows, strict=True) if y is r):
+            length += 1
+        if length:
+            want.append((r[0], 8 * 2 ** (length - 1)))
+    assert H.ordered(substring_dedup.repeat_lengths(H.with_clashes(H.frame(spark, rows))).collect()) == H.ordered(want)
+    assert substring_dedup.repeat_lengths(H.frame(spark, [(1, "a b", "", "", 0)])).count() == 0
+
+
 @pytest.mark.parametrize("least", [2, 10])
 def test_lines(spark, rows, least):
     docs = H.with_clashes(H.frame(spark, rows + [(900 + i, f" Common Line\nrow {i}\n\ncommon line\n", "en", "s", 0) for i in range(12)]))
@@ -70,6 +106,22 @@ def test_many_lines_in_one_document(spark):
     assert H.ordered(found.collect()) == H.ordered(H.kept_lines(rows))
 
 
+def test_a_hot_line_and_a_hot_key_are_dealt_over_tasks(spark):
+    """A line in all documents is sorted in several ranges; its rows meet its key in several parts."""
+    rows = [(i, f"hot\nown {i}\nhot", "en", "s", 0) for i in range(3000)]
+    docs = H.frame(spark, rows).repartition(4)
+    lines = line_dedup.line_rows(docs)
+    ranged = lines.repartitionByRange(4, "h1", "h2", "k1", "k2").withColumn("p", F.spark_partition_id())
+    hot = ranged.groupBy("h1", "p").count().groupBy("h1").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n")).where("n = 6000").collect()
+    assert [r.parts > 1 for r in hot] == [True]
+    often = line_dedup.scratch.materialize(line_dedup.frequent_lines(lines), "often")
+    assert [r.n for r in often.collect()] == [3000]
+    dealt = spread_join(lines, often, ["h1", "h2"], "n", 9000, ["k1", "k2"])
+    assert dealt.count() == 6000
+    out = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept")
+    assert H.ordered(out.collect()) == H.ordered(H.kept_lines(rows))
+
+
 ITEMS = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "One two"), (10, None), (11, ""), (None, "same line same line same line same line same line"), (3, "x")]
 
 
