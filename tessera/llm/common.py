@@ -124,22 +124,33 @@ def row_keys(first: str, second: str) -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias(first), F.xxhash64(F.lit(1), "doc_id", "text").alias(second)]
 
 
-#: A key with more than this share of all rows is hot; so there are at most HOT_SHARE hot keys, and they may be broadcast.
+#: A key with more than this share of all rows is hot; so there are at most HOT_SHARE hot keys, whatever the data.
 HOT_SHARE = 1000
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, by: list[str], how: str = "left_semi") -> DataFrame:
-    """``rows`` joined with ``keys``, of which each key is one row; no task gets more than about a thousandth of all rows of one key.
+def hot_keys(counts: DataFrame, on: list[str], count: str, total: int) -> list[tuple]:
+    """(key columns, parts) of the keys in ``counts`` with more than a thousandth of ``total`` rows.
 
-    ``count`` in ``keys`` says how many rows a key has, and ``total`` is at least their sum. So no more than HOT_SHARE
-    keys can be hot, whatever the data; these are broadcast to the rows, which are dealt over parts by the hash of the
-    columns ``by``, and the key is repeated once a part. ``keys`` is read twice and should be a written table.
+    ``total`` is at least the sum of ``count``, so no more than HOT_SHARE keys come to the driver.
     """
     parts = F.ceil(F.col(count) * HOT_SHARE / max(total, 1)).cast("int")
-    hot = keys.where(F.col(count) * HOT_SHARE > total).select(*on, parts.alias("_parts"))
-    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
-    each = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    hot = counts.where(F.col(count) * HOT_SHARE > total).select(*on, parts.alias("_parts"))
+    return [tuple(r) for r in hot.limit(HOT_SHARE).collect()]
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], hot: list[tuple], by: list[str], how: str = "left_semi") -> DataFrame:
+    """``rows`` joined with ``keys``, so that no task gets more than about a thousandth of all rows for one key.
+
+    The rows of a hot key (from ``hot_keys``) are dealt over its parts by the hash of the columns ``by``, and what
+    ``keys`` has for it is repeated once a part; that is at most 2 * HOT_SHARE copies in all.
+    """
+    if not hot:
+        return rows.join(keys, on, how)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    marks = F.broadcast(rows.sparkSession.createDataFrame(hot, ", ".join(f"{c} {types[c]}" for c in on) + ", _parts int"))
+    part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(marks, on, "left").withColumn("_part", part).drop("_parts")
+    each = keys.join(marks, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(each, [*on, "_part"], how).drop("_part")
 
 

@@ -29,21 +29,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label) of every node in ``edges`` (u, v); the label is the least node of the component.
+    """(node, label) of every node in ``edges`` (u, v), a written table; the label is the least node of the component.
 
-    Groups are aggregated before they are shuffled and no component is gathered
-    in one task. Stops when the edges form stars, which takes a number of rounds
-    in the order of the logarithm of the longest path.
+    Neighbours are reduced to the least one before they are shuffled. The edges of a star's centre meet that one row
+    in a join whose partitions Spark splits by size at run time. Stops when the edges form stars, which takes a number
+    of rounds in the order of the logarithm of the longest path.
     """
     mark = None
-    for _ in range(rounds):
-        edges = scratch.materialize(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"links did not settle into stars in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
+    with scratch.owner() as made:
+        for _ in range(rounds):
+            edges = scratch.materialize(_small_star(_large_star(edges)), "stars")
+            made.keep(edges)
+            now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark:
+                break
+            mark = now
+        else:
+            raise RuntimeError(f"links did not settle into stars in {rounds} rounds")
+        rows = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        out = scratch.materialize(rows.unionByName(rows.select(F.col("label").alias("node"), "label").distinct()), "labels")
+        made.keep(out)
+    return out

@@ -19,6 +19,12 @@ empty texts, or texts without words, have no shingles, link with nothing and are
 their own component; repeated rows are copies of each other; a null id never
 wins as the smallest id, and is the component's id only where no other exists;
 other columns are ignored; an empty table gives no rows.
+
+Rows and sets are told apart by 128 bits, classes by numbers of a written
+table. Shingles have 64-bit hashes, which are compared only within a pair of
+sets: a pair of a thousand shingles each is off by one with a probability of
+10^-13. Rows of a frequent shingle, a large component or a large group of
+copies are dealt over parts that grow in number with them.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, LOWER_TABLE, UPPER, fresh, hash_words, map_arrow, raw, rows_of, table, window_hashes
+from tessera.llm.common import LOWER, LOWER_TABLE, UPPER, fresh, hash_words, hot_keys, map_arrow, raw, row_keys, spread_join, table, window_hashes
 from tessera.llm.graph import components
 
 SHINGLE = 5
@@ -41,8 +47,12 @@ PERCENT = 75
 FRAGMENTS = 4
 #: Rounds in which a shingle's classes are compared with a hub only.
 HUB_ROUNDS = 2
-#: Parts of the other pairs (of sixteen, by hash) that are tried one after another: one link is enough to join components.
+#: The other pairs are tried in slices one after another, as one link is enough to join components. Classes have one of
+#: SIDES numbers by hash, and a pair lies in the slice of the sum of both (modulo SIDES), however components change.
+SIDES = 16
 SLICES = ((0, 2), (2, 8), (8, 16))
+#: Postings of a shingle that meet in one task; those of a more frequent one are dealt over parts.
+GROUP = 256
 #: The first filter looks at the shingles in this share of the range of hashes.
 SHARE = 0.4
 #: Bits of a shingle's hash that the first filter counts; a clash there only lets more through.
@@ -66,26 +76,31 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         mask, end = np.uint64((1 << FILTER_BITS) - 1), np.uint64(int(SHARE * (1 << 64)))
         for batch in batches:
-            ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))
-            sets = [shingle_set(t, size) for t in texts]
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield {
-                "doc_id": ids, "row_key": keys, "n": [len(s) for s in sets],
+                **{c: batch.column(c) for c in ("doc_id", "k1", "k2")}, "n": [len(s) for s in sets],
                 "d1": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
                 "d2": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
                 "fragment": [(s[: np.searchsorted(s, end)] & mask).view(np.int64) for s in sets],
             }
 
-    return map_arrow(docs, sketch, "doc_id long, row_key long, n long, d1 long, d2 long, fragment array<long>")
+    return map_arrow(docs, sketch, "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, fragment array<long>")
 
 
 def _may_link(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes that lack no more shingles of the fragment elsewhere than a link may lack in all."""
+    """The classes that lack no more shingles of the fragment elsewhere than a link may lack in all.
+
+    Counted by half a digest, as a clash there only lets more through.
+    """
     flat = sketches.select("d1", F.explode("fragment").alias("token"))
-    often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = flat.join(often.hint("shuffle_hash"), "token", "left_semi").groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
+    often = scratch.materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    total = sketches.agg(F.sum(F.size("fragment"))).first()[0] or 0
+    kept = spread_join(flat, often.select("token"), ["token"], hot_keys(often, ["token"], "c", total), ["d1"])
+    shared = kept.groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
     lacking = F.col("copies") * F.col("here") - F.coalesce("shared", F.lit(0))
-    return classes.join(shared, "d1", "left").where(lacking <= F.col("copies") * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100))).select("cid")
+    may = classes.join(shared, "d1", "left").where(lacking <= F.col("copies") * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    return may.select("cid", "rep.k1", "rep.k2")
 
 
 def _graded(sets: DataFrame) -> DataFrame:
@@ -95,10 +110,11 @@ def _graded(sets: DataFrame) -> DataFrame:
     of which too few shingles are shared are left out. The score is the mean logarithm of df.
     """
     flat = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = scratch.materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
+    total = sets.agg(F.sum("n")).first()[0] or 0
     whole = Window.partitionBy("cid")
     shared = F.count(F.lit(1)).over(whole)
-    graded = flat.join(df.hint("shuffle_hash"), "token").select(
+    graded = spread_join(flat, df, ["token"], hot_keys(df, ["token"], "df", total), ["cid"], "inner").select(
         "cid", "n", "token", "df", shared.alias("shared"), (F.sum(F.log("df")).over(whole) / F.col("n")).alias("score"),
         F.row_number().over(whole.orderBy("df", "token")).alias("r"),
     )
@@ -116,9 +132,19 @@ def _segments(graded: DataFrame, fragments: int) -> DataFrame:
 
 
 def _postings(graded: DataFrame) -> DataFrame:
-    """(token, cid, n, score, at) for the shared shingles of each set's prefix."""
+    """(token, cid, n, score, at, parts, part) for the shared shingles of each set's prefix; GROUP rows of a token make a part."""
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    return graded.where(F.col("at") <= prefix).select("token", "cid", "n", "score", "at")
+    parts = F.ceil(F.col("df") / GROUP).cast("int")
+    rows = graded.where(F.col("at") <= prefix).withColumn("parts", parts)
+    return rows.select("token", "cid", "n", "score", "at", "parts", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
+
+
+_POSTING = ("token", "cid", "n", "score", "at", "parts", "part")
+
+
+def _each_part(tokens: DataFrame) -> DataFrame:
+    """What is known of a token, once for each part of its postings."""
+    return tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def _possible():
@@ -137,9 +163,15 @@ def _flat_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Partial overlaps counted fragment by fragment and summed per pair; the pairs that link stay."""
-    left = pairs.join(segments.select(F.col("cid").alias("a"), "fragment", F.col("segment").alias("sa")), "a")
-    both = left.join(segments.select(F.col("cid").alias("b"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"])
+    """Partial overlaps counted fragment by fragment and summed per pair; the pairs that link stay.
+
+    ``pairs`` is a written table; those of a class that is in many are dealt over parts.
+    """
+    total = pairs.count()
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("p")), [c], "p", total) for c in "ab"}
+    of = lambda c: segments.select(F.col("cid").alias(c), "fragment", F.col("segment").alias(f"s{c}"))
+    left = spread_join(pairs, of("a"), ["a"], hot["a"], ["b"], "inner")
+    both = spread_join(left, of("b"), ["b", "fragment"], [(c, f, n) for c, n in hot["b"] for f in range(FRAGMENTS)], ["a"], "inner")
     counts = both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
     summed = counts.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
     return summed.where(_enough(F.col("na"), F.col("nb"), F.col("overlap")))
@@ -158,77 +190,90 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         rows = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     rows = rows.withColumn("early", (F.col("at") - 1) * (100 + PERCENT) <= F.col("n") * (100 - PERCENT))
-    open_ = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("some")).where("lo <> hi and some").select("token")
-    return rows.join(open_, "token", "left_semi")
+    facts = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("some")]
+    open_ = rows.groupBy("token", "parts").agg(*facts).where("lo <> hi and some").select("token", "parts")
+    return rows.join(_each_part(open_), ["token", "part"], "left_semi")
 
 
 def _hub_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of each shingle's hub with the classes of other components, and the postings without the hubs."""
-    hubs = rows.groupBy("token").agg(F.max(F.struct("score", "cid", "n", "at", "label")).alias("h")).select("token", "h.*")
-    x, y = hubs.alias("x"), rows.alias("y")
-    pairs = y.join(x, "token").where((F.col("x.label") != F.col("y.label")) & _possible()).select(*_pair())
-    return _flat_pairs(pairs), rows.join(hubs.select("token", "cid"), ["token", "cid"], "left_anti").select("token", "cid", "n", "score", "at")
+    hubs = rows.groupBy("token", "parts").agg(F.max(F.struct("score", "cid", "n", "at", "label")).alias("h"))
+    x, y = _each_part(hubs).select("token", "part", "h.*").alias("x"), rows.alias("y")
+    met = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")))
+    pairs = met.where((F.col("x.label") != F.col("y.label")) & _possible()).select(*_pair())
+    return _flat_pairs(pairs), met.where("x.cid <> y.cid").select(*(f"y.{c}" for c in _POSTING))
 
 
 def _other_pairs(rows: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """All pairs of a shingle's classes that lie in different components and may link by it.
+    """The pairs, within a slice, of a shingle's classes that lie in different components and may link by it.
 
-    Components are paired before their classes, and only those whose longest
-    rest can reach the overlap, so that no pair inside a component is looked at.
-    The smaller component's classes are taken first. One of the two classes has
-    the shingle early. Of these pairs, a part by hash is returned.
+    Components are paired before their classes, side by side, and only those
+    whose longest rest can reach the overlap; so no pair inside a component or
+    outside the slice is looked at. The smaller component's classes are taken
+    first. One of the two classes has the shingle early.
     """
+    rows = rows.withColumn("side", F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(SIDES)).cast("int"))
     facts = [F.max(F.col("n") - F.col("at") + 1).alias("rest"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members")]
-    p = rows.where("early").groupBy("token", "label").agg(*facts).alias("p")
-    q = rows.groupBy("token", "label").agg(*facts).alias("q")
+    p = rows.where("early").groupBy("token", "label", "side").agg(*facts)
+    p = p.withColumn("sum", F.explode(F.sequence(F.lit(part[0]), F.lit(part[1] - 1)))).withColumn("meets", F.pmod(F.col("sum") - F.col("side"), F.lit(SIDES))).alias("p")
+    q = rows.groupBy("token", "label", "side").agg(*facts).alias("q")
     able = _enough(F.col("p.least"), F.col("q.least"), F.least("p.rest", "q.rest"))
-    meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & able)
-    meet = meet.select(F.col("p.token").alias("token"), F.col("p.label").alias("lp"), F.col("q.label").alias("lq"), (F.col("p.members") < F.col("q.members")).alias("p_first")).alias("m")
+    meet = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.meets") == F.col("q.side")) & (F.col("p.label") != F.col("q.label")) & able)
+    meet = meet.select(
+        F.col("p.token").alias("token"), F.col("p.label").alias("lp"), F.col("p.side").alias("sp"), F.col("q.label").alias("lq"), F.col("q.side").alias("sq"),
+        (F.col("p.members") < F.col("q.members")).alias("p_first"),
+    ).alias("m")
     x, y = rows.where("early").alias("x"), rows.alias("y")
-    at_x = (F.col("x.token") == F.col("m.token")) & (F.col("x.label") == F.col("m.lp"))
-    at_y = (F.col("y.token") == F.col("m.token")) & (F.col("y.label") == F.col("m.lq"))
-    one = meet.where("p_first").join(x, at_x).join(y, at_y & _possible()).select(*_pair())
-    two = meet.where("not p_first").join(y, at_y).join(x, at_x & _possible()).select(*_pair())
-    pairs = _flat_pairs(one.unionByName(two))
-    return pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES[-1][1])).between(part[0], part[1] - 1))
-
-
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FRAGMENTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_key, n_shingles and component_id (the smallest id reachable by links).
-
-    ``row_key`` is xxhash64(doc_id, text).
-    """
-    return labelled_components(docs, size, fragments).drop("label")
-
-
-def labelled_components(docs: DataFrame, size: int = SHINGLE, fragments: int = FRAGMENTS) -> DataFrame:
-    """``jaccard_components`` with label, which tells components apart whatever their ids; null without shingles."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    sketches = scratch.materialize(_sketches(rows, size), "sketches")
-    classes = scratch.materialize(
-        sketches.where("n > 0").groupBy("d1", "d2")
-        .agg(F.min("row_key").alias("cid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first(F.size("fragment")).alias("here"), F.count(F.lit(1)).alias("copies")),
-        "classes",
-    )
-    able = scratch.materialize(_may_link(sketches, classes), "able")
-    scratch.settle(spark)
-    # the fragments aren't needed any more
-    sizes = scratch.materialize(sketches.drop("fragment"), "sizes")
-    scratch.discard(sketches)
+    at = lambda r, end: (F.col(f"{r}.token") == F.col("m.token")) & (F.col(f"{r}.label") == F.col(f"m.l{end}")) & (F.col(f"{r}.side") == F.col(f"m.s{end}"))
+    one = meet.where("p_first").join(x, at("x", "p")).join(y, at("y", "q") & _possible()).select(*_pair())
+    two = meet.where("not p_first").join(y, at("y", "q")).join(x, at("x", "p") & _possible()).select(*_pair())
+    return _flat_pairs(one.unionByName(two))
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles and component_id (the smallest id reachable by links)."""
+    return labelled_components(docs, size).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``jaccard_components`` with the row's 128-bit key (k1, k2), and label, which tells components apart whatever their ids; null without shingles."""
+    rows = docs.select("doc_id", "text", *row_keys("k1", "k2"))
+    with scratch.owner() as made:
+        sketches = scratch.materialize(_sketches(rows, size), "sketches")
+        grouped = sketches.where("n > 0").groupBy("d1", "d2").agg(
+            F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"),
+            F.first(F.size("fragment")).alias("here"), F.count(F.lit(1)).alias("copies"),
+        )
+        classes = scratch.materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
+        able = scratch.materialize(_may_link(sketches, classes), "able")
+        sizes = scratch.materialize(sketches.drop("fragment"), "sizes")
+        made.keep(sizes, classes, able)  # the fragments aren't needed any more
+        with scratch.owner() as inner:
+            labels = _links(rows, able, size)
+            inner.keep(*([labels] if labels is not None else []))
+        ids = scratch.materialize(_named(classes, labels), "ids")
+        made.keep(sizes, ids)
+    total = sizes.count()
+    joined = spread_join(sizes, ids.drop("copies"), ["d1", "d2"], hot_keys(ids, ["d1", "d2"], "copies", total), ["k1", "k2"], "left")
+    some = F.col("n") > 0
+    return joined.select(
+        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("label")).alias("label")
+    )
+
+
+def _links(rows: DataFrame, able: DataFrame, size: int) -> DataFrame | None:
+    """(node, label): a written table of the classes that link with others, by component."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            yield {"cid": batch.column("row_key"), "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
+            yield {"cid": batch.column("cid"), "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
 
-    chosen = rows.join(able.select(F.col("cid").alias("row_key")).hint("shuffle_hash"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    sets = scratch.materialize(map_arrow(chosen.select("row_key", "text"), full, "cid long, n long, tokens array<long>"), "sets")
-    scratch.settle(spark)
+    chosen = rows.join(able, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sets = scratch.materialize(map_arrow(chosen.select("cid", "text"), full, "cid long, n long, tokens array<long>"), "sets")
     graded = scratch.materialize(_graded(sets), "graded")
     scratch.discard(sets)
-    scratch.settle(spark)
-    segments = scratch.materialize(_segments(graded, fragments), "segments")
+    segments = scratch.materialize(_segments(graded, FRAGMENTS), "segments")
     postings = _postings(graded)
     labels, tested = None, None
     for k in range(HUB_ROUNDS + len(SLICES)):
@@ -238,8 +283,8 @@ def labelled_components(docs: DataFrame, size: int = SHINGLE, fragments: int = F
         if k < HUB_ROUNDS:
             pairs, postings = _hub_pairs(found)
         else:
-            # a pair belongs to one part, so after the last one each pair has been tested, or lay in one component
-            pairs, postings = _other_pairs(found, SLICES[k - HUB_ROUNDS]), found.select("token", "cid", "n", "score", "at")
+            # a pair belongs to one slice, so after the last one each pair has been tested, or lay in one component
+            pairs, postings = _other_pairs(found, SLICES[k - HUB_ROUNDS]), found.select(*_POSTING)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.materialize(pairs, "pairs")
@@ -249,29 +294,39 @@ def labelled_components(docs: DataFrame, size: int = SHINGLE, fragments: int = F
         if not new.isEmpty():
             old = None if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")
             labels = components(new if old is None else new.unionByName(old))
-        scratch.settle(spark)
+    return labels
+
+
+def _named(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(d1, d2, copies, label, component_id) of every class; the classes of a large component are dealt over parts."""
+    named = classes.select("cid", "d1", "d2", "copies", "least_id")
     if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
-    named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    ids = named.select("d1", "d2", "label").join(least, "label").select("d1", "d2", "label", "component_id")
-    joined = sizes.select("doc_id", "row_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
-    return joined.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
+        return named.select("d1", "d2", "copies", F.col("cid").alias("label"), F.col("least_id").alias("component_id"))
+    named = named.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = scratch.materialize(named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    hot = hot_keys(least, ["label"], "members", classes.count())
+    return spread_join(named, least.drop("members"), ["label"], hot, ["cid"], "inner").select("d1", "d2", "copies", "label", "component_id")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, five-word shingles, similarity of 0.75 or more."""
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("row_key")
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (null only where there is no other), of several the one with the smallest row_key."""
-    found = labelled_components(docs)
-    first = found.where("n_shingles = 0 or doc_id <=> component_id").withColumn("own", F.when(F.col("n_shingles") == 0, F.col("row_key")))
-    stay = first.groupBy("label", "own").agg(F.min("row_key").alias("row_key")).select("row_key")
-    key = fresh(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    return keyed.join(stay.withColumnRenamed("row_key", key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """One document of each component stays: the one with the smallest id (null only where there is no other), of several the one with the smallest key.
+
+    Rows without shingles all stay; rows alike in id and text count as one.
+    """
+    key = F.struct("k1", "k2")
+    with scratch.owner() as made:
+        found = labelled_components(docs).where("n_shingles = 0 or doc_id <=> component_id")
+        own = F.when(F.col("n_shingles") == 0, key).alias("own")
+        stay = scratch.materialize(found.groupBy("label", own).agg(F.min(key).alias("key")).select("key.k1", "key.k2"), "stay")
+        made.keep(stay)
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
+    keyed = docs.select("*", *row_keys(k1, k2))
+    return keyed.join(stay.withColumnsRenamed({"k1": k1, "k2": k2}), [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
 
 
 SQL = rf"""

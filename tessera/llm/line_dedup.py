@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import LOWER, UPPER, WHITE, fresh, lower_az, row_keys, spread_join, table
+from tessera.llm.common import LOWER, UPPER, WHITE, fresh, hot_keys, lower_az, row_keys, spread_join, table
 
 #: Keys of at least so many code points, in at least so many documents, lose their lines.
 LEAST_CHARS, LEAST_DOCS = 1, 10
@@ -61,7 +61,8 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
     with scratch.owner() as made:
         rows = scratch.materialize(line_rows(docs, least_chars), "lines")
         often = scratch.materialize(frequent_lines(rows, least_docs), "often")
-        gone = spread_join(rows, often, ["h1", "h2"], "n", rows.count(), ["k1", "k2"]).select("k1", "k2", "position")
+        hot = hot_keys(often, ["h1", "h2"], "n", rows.count())
+        gone = spread_join(rows, often, ["h1", "h2"], hot, ["k1", "k2"]).select("k1", "k2", "position")
         words = gone.groupBy("k1", "k2", F.floor(F.col("position") / BITS).cast("int").alias("word")).agg(
             F.bitwise_not(F.bit_or(F.expr(f"shiftleft(1L, position % {BITS})"))).alias("bits")
         )

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import hash_words, map_arrow, row_keys, rows_of, sha256, spread_join, table, white_words, window_hashes
+from tessera.llm.common import hash_words, hot_keys, map_arrow, row_keys, rows_of, sha256, spread_join, table, white_words, window_hashes
 
 WINDOW = 35
 #: No level is shorter than this many words: shorter windows recur by chance.
@@ -157,7 +157,7 @@ def _repeated(emitted: DataFrame, whole: bool) -> DataFrame:
         flat = emitted.select("k1", "k2", F.explode("hashes").alias("a"))
     often = scratch.materialize(flat.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     total = emitted.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    kept = spread_join(flat, often, on, "n", total, ["k1", "k2"]).select("k1", "k2", *on).distinct()
+    kept = spread_join(flat, often, on, hot_keys(often, on, "n", total), ["k1", "k2"]).select("k1", "k2", *on).distinct()
     each = F.collect_list(F.struct(*on)).alias("x")
     others = F.col("x.b") if whole else F.array().cast("array<bigint>")
     return kept.groupBy("k1", "k2").agg(each).select("k1", "k2", F.col("x.a").alias("hashes"), others.alias("others"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
 from tessera.llm import decontaminate, jaccard_join, line_dedup, substring_dedup
-from tessera.llm.common import hash_words, spread_join, window_hashes
+from tessera.llm.common import hash_words, hot_keys, spread_join, window_hashes
 
 
 @pytest.fixture(scope="module", params=[1, 2])
@@ -28,7 +28,7 @@ def rows(request):
 
 
 def test_jaccard(spark, rows):
-    found = jaccard_join.jaccard_components(H.with_clashes(H.frame(spark, rows))).drop("row_key")
+    found = jaccard_join.jaccard_components(H.with_clashes(H.frame(spark, rows)))
     assert H.ordered(found.collect()) == H.ordered(H.components(rows))
 
 
@@ -116,8 +116,10 @@ def test_a_hot_line_and_a_hot_key_are_dealt_over_tasks(spark):
     assert [r.parts > 1 for r in hot] == [True]
     often = line_dedup.scratch.materialize(line_dedup.frequent_lines(lines), "often")
     assert [r.n for r in often.collect()] == [3000]
-    dealt = spread_join(lines, often, ["h1", "h2"], "n", 9000, ["k1", "k2"])
-    assert dealt.count() == 6000
+    keys = hot_keys(often, ["h1", "h2"], "n", 9000)
+    assert [k[2] for k in keys] == [334] and not hot_keys(often, ["h1", "h2"], "n", 9_000_000)
+    dealt = spread_join(lines, often, ["h1", "h2"], keys, ["k1", "k2"])
+    assert dealt.columns == lines.columns and dealt.count() == 6000
     out = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept")
     assert H.ordered(out.collect()) == H.ordered(H.kept_lines(rows))
 
