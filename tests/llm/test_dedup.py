@@ -146,6 +146,35 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id, r.position, r.span) for r in found] == [(1, "7", 1, 5)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_segment_search_is_the_plain_one(seed, monkeypatch):
+    """Phrases and proximity of one segment by comparing all places; few words, so that all lists are long."""
+    monkeypatch.setattr(decontaminate, "STEP", 7)
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60))) for _ in range(12)]
+    items = [(str(i), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9)))) for i in range(25)] + [("z", "q"), ("y", None), ("x", "a")]
+    words = [t.encode().split() for t in texts]
+    made = decontaminate._segment(list(range(12)), [len(w) for w in words], [w for of in words for w in of])
+    seg = decontaminate.Segment(made["n_words"][0], made["terms"][0], made["ends"][0], made["gaps"][0])
+    block = decontaminate.Block(items, 4)
+    want, close = set(), set()
+    for i, (_, t) in enumerate(items):
+        w = (t or "").encode().split()
+        for o in range(max(1, len(w) - 3)) if w else ():
+            p, need = w[o : o + 4], set(w[o : o + 4])
+            for d, of in enumerate(words):
+                for k in range(len(of)):
+                    if of[k : k + len(p)] == p:
+                        want.add((i, o, int(seg.starts[d]) + k))
+                    if of[k] in need and need <= set(of[k : k + len(p) + 2]):
+                        close.add((i, o, d))
+    phrase, at = seg.phrases(block)
+    assert {(int(block.item[p]), int(block.offset[p]), int(x)) for p, x in zip(phrase, at, strict=True)} == want
+    near = seg.near(block, 2)
+    assert {(int(block.item[p]), int(block.offset[p]), int(np.searchsorted(seg.starts, x, "right")) - 1) for p, x, _ in near} == close
+    assert all(span <= block.length[p] + 2 for p, _, span in near)
+
+
 def test_proximity_ends_with_the_document(spark):
     texts = ["b x x a", "b", "a", "", "b y a", "b"]  # across the border after the first, a and b would be closer
     docs = H.frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]).coalesce(1)
