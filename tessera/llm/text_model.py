@@ -22,7 +22,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, r
 
     The rows with the lowest hash of their id are taken, so the choice doesn't
     depend on how the tables are stored. First ids are chosen, then their texts
-    are read; rows without a label or text are left out.
+    are read; rows without a label or text are left out. Of several labels of an
+    id the greatest counts, of several texts the least one.
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn_from)
     ids = wanted.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
@@ -31,7 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, r
         return [], np.zeros(0)
     chosen = docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long")
     texts = docs.where("text is not null").where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
-    found = sorted({(r.doc_id, r.text) for r in texts.select("doc_id", "text").limit(2 * rows).collect()})
+    found = sorted((r.doc_id, r.text) for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # one an id
     return [t for _, t in found], np.array([known[i] for i, _ in found], float)
 
 

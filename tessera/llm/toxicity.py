@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding lower-cases, replaces letters of other scripts that look like Latin
-ones, undoes digit and sign substitutions, and turns punctuation into spaces. A
-lexicon entry matches words that begin with it and weighs as much as the words
+ones, undoes digit and sign substitutions, and turns runs of punctuation and
+white space into one space, in texts and phrases alike. A lexicon entry matches words that begin with it and weighs as much as the words
 it marks are more frequent in toxic than in other labelled texts. Hits inside
 an exception phrase don't count. The sum of weights, normalised by the length
 of the text, goes through a small calibrated regression to a score.
@@ -62,8 +62,8 @@ _FOLD = _table()
 
 
 def fold(text: str | None) -> str:
-    """Folded text with a space before each word and at the end."""
-    return f" {(text or '').lower().translate(_FOLD)} "
+    """Folded text with one space before each word and at the end."""
+    return f" {' '.join((text or '').lower().translate(_FOLD).split())} "
 
 
 @dataclass
@@ -83,8 +83,8 @@ class Lexicon:
             a = ahocorasick.Automaton()
             for w, x in self.weights.items():
                 a.add_word(" " + w, (len(w) + 1, x))
-            for p in self.exceptions:
-                a.add_word(f" {p} ", (len(p) + 2, None))
+            for p in map(fold, self.exceptions):
+                a.add_word(p, (len(p), None))
             a.make_automaton()
             self._automaton = a
         return self._automaton
