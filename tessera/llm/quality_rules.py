@@ -2,9 +2,11 @@
 
 The base rules look at words, symbols, repeated lines and repeated five-word
 windows. The classifier is a logistic regression on hashed word one- and
-two-grams and character three- and four-grams, each group averaged over the
-whole text; it is trained on a bounded sample of labelled rows, calibrated on a
-part of that sample kept back, and applied in Arrow batches.
+two-grams and character (code point) three- and four-grams, each group averaged
+over the whole text; a word after itself is one two-gram whatever the word, so
+that repetition is learned from few rows. It is trained on a bounded sample of
+labelled rows, calibrated on a part of that sample kept back, and applied in
+Arrow batches against fixed thresholds.
 
 Defined results: null and empty texts have no words, fail the base rules and
 aren't kept; repeated rows are judged each for itself; null ids are kept; other
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, hash_words, map_arrow, mix, raw, table, window_hashes
+from tessera.llm.common import arrow_limits, chain, hash_words, map_arrow, raw, table, window_hashes
 from tessera.llm.text_model import Rows, calibrated, sample, sigmoid
 
 #: Documents are kept if their calibrated probability is at least this.
 THRESHOLD = 0.5
+#: The grade is how many of these the probability reaches.
+GRADES = (0.1, 0.5, 0.9)
 FEWEST_WORDS = 10
 #: Most percent of the words in repeated windows.
 MOST_REPEATED = 20
@@ -68,22 +72,27 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 _SHIFT = np.uint64(64 - BITS)
-_STEP = np.uint32(0x9E3779B1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SAME = np.uint64(1)
+
+
+def code_points(data: bytes) -> np.ndarray:
+    if data.isascii():
+        return np.frombuffer(data, np.uint8).astype(np.uint64)
+    return np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def feature_groups(data: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashed word one- and two-grams and character three- and four-grams, as numbers below 2 ** BITS.
-
-    All two-grams of a word with itself are one feature.
-    """
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    three = four = np.zeros(0, np.uint32)
-    if len(b) >= 3:
-        code = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
-        three = code * _STEP >> np.uint32(32 - BITS)
-        if len(b) >= 4:
-            four = (code[:-1] | b[3:] << np.uint32(24)) * _STEP >> np.uint32(32 - BITS)
-    two = mix((hashes[:-1] ^ hashes[1:]) * np.uint64(3) + (hashes[:-1] ^ hashes[1:] >> np.uint64(1)) * (hashes[:-1] != hashes[1:])) if len(hashes) > 1 else hashes[:0]
+    """Hashed word one- and two-grams and character three- and four-grams, as numbers below 2 ** BITS."""
+    c = code_points(data)
+    three = four = np.zeros(0, np.uint64)
+    if len(c) >= 3:  # a code point has 21 bits
+        code = c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)
+        three = code * _STEP >> _SHIFT
+        if len(c) >= 4:
+            four = (code[:-1] * _STEP ^ c[3:]) * _STEP >> _SHIFT
+    two = chain(hashes[:-1], hashes[1:])
+    two[hashes[:-1] == hashes[1:]] = _SAME << _SHIFT
     return [hashes >> _SHIFT, two >> _SHIFT, three, four]
 
 
@@ -143,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     return train(*sample(docs, labels, "quality", F.lit(True)))
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double, grade int"
 
 
 def judge(model: Classifier, text: str | None, threshold: float = THRESHOLD) -> tuple:
@@ -153,7 +162,7 @@ def judge(model: Classifier, text: str | None, threshold: float = THRESHOLD) ->
     counts = base_counts(data, words, hashes)
     failed = base_failed(len(words), counts[3])
     p = model.score(data, hashes)
-    return len(words), *counts, failed, not failed and p >= threshold, p
+    return len(words), *counts, failed, not failed and p >= threshold, p, sum(p >= g for g in GRADES)
 
 
 def quality(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
