@@ -39,9 +39,13 @@ _FAST = re.compile("[\x00-\x1b\x20-įı-ɏ]*")
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
 
-def tokenizer_json(name: str = "word_bpe_49k.json", root: str = "/opt/tokenizers") -> str:
-    """The text of a tokenizer file; it is of a fixed size of a few MB."""
-    return (Path(root) / name).read_text(encoding="utf-8")
+def tokenizer_json(name: str = "word_bpe_49k.json", root: str | None = None) -> str:
+    """The text of a tokenizer file, from a folder or the installed package of public ones; it is of a fixed size of a few MB."""
+    if root is not None:
+        return (Path(root) / name).read_text(encoding="utf-8")
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
 def _byte_letters() -> list[str]:
@@ -69,6 +73,9 @@ class Bpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self.rank = {a << self.shift | b: r for r, (a, b, _) in enumerate(self.parts)}
+        made = {new: r for r, (_, _, new) in enumerate(self.parts)}  # the last merge that makes a token
+        if len(self.rank) < len(self.parts) or any(made.get(x, -1) >= r for r, (a, b, _) in enumerate(self.parts) for x in (a, b)):
+            raise ValueError("a merge of this vocabulary comes before one that makes its parts, so ranks can't be applied in one pass")
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
@@ -84,7 +91,7 @@ class Bpe:
         """Token ids of each piece.
 
         Places are indexed by the rank of the pair that stands there. No merge makes a pair of a lower rank than its
-        own (a token is in a pair only after it has been made), so one ascending pass over all pieces is exact.
+        own (every merge comes after those that make its parts, as was checked), so one ascending pass over all pieces is exact.
         """
         shift, rank, inner, last = self.shift, self.rank.get, self.inner, self.last
         symbol: list[int] = []
@@ -258,5 +265,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that reached this stage."""
+    """Token ids of every document that reached this stage; a row each, also for null or repeated ids."""
     return encode(docs)
