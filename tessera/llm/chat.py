@@ -43,7 +43,7 @@ class Mapping:
     """Where a layout keeps its turns.
 
     turns: path of the list of turns, or empty; role and text: fields of a turn. Without a list, ``fields`` gives
-    pairs of role and field in order; fields joined by + are parts of one text.
+    pairs of role and field in order; fields joined by + are parts of one text. roles: this layout's names of roles.
     """
 
     name: str
@@ -51,6 +51,7 @@ class Mapping:
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> frozenset[str]:
         if self.turns:
@@ -64,7 +65,7 @@ class Mapping:
 MAPPINGS = (
     Mapping("rows", role="role", text="text"),
     Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("from-value", turns="conversations", role="from", text="value"),
+    Mapping("from-value", turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
     Mapping("dialog", turns="dialog", role="speaker", text="utterance"),
     Mapping("instruction-input", fields=(("user", "instruction+input"), ("assistant", "output"))),
     Mapping("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
@@ -73,9 +74,12 @@ MAPPINGS = (
     Mapping("prompt-completion", fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt-response", fields=(("user", "prompt"), ("assistant", "response"))),
     Mapping("question-answer", fields=(("user", "question"), ("assistant", "answer"))),
+    Mapping("prompt", fields=(("user", "prompt"),)),
+    Mapping("completion", fields=(("assistant", "completion"),)),
+    Mapping("instruction-alone", fields=(("user", "instruction"),)),
+    Mapping("output", fields=(("assistant", "output"),)),
+    Mapping("system", fields=(("system", "system"),)),
 )
-#: Other names of roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _PATHS = frozenset().union(*(m.paths() for m in MAPPINGS))
 
 
@@ -103,24 +107,29 @@ def _turns(record: dict, m: Mapping) -> list[tuple[str, str]]:
         found = [(str(record.get(m.role) or ""), record.get(m.text))]
     else:
         found = [(r, "\n\n".join(str(record[p]) for p in f.split("+") if record.get(p))) for r, f in m.fields]
-    return [(ROLES.get(r, r), "" if t is None else t if isinstance(t, str) else json.dumps(t, ensure_ascii=False)) for r, t in found]
+    named = dict(m.roles)
+    return [(named.get(r, r), "" if t is None else t if isinstance(t, str) else json.dumps(t, ensure_ascii=False)) for r, t in found]
 
 
-def turns_of_records(records: DataFrame, key: str = "conv_id", column: str = "record") -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text) of JSON records of any known layout; each record is a conversation."""
+def turns_of_records(records: DataFrame, key: str = "conv_id", column: str = "record", turn: str | None = None) -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text) of JSON records of any known layout.
+
+    A record is a conversation, or, if ``turn`` names a column, a part of one whose first turn has that number.
+    """
+    spread = records.select(F.col(key).alias("conv_id"), (F.lit(0) if turn is None else F.col(turn)).cast("long").alias("turn"), F.col(column).alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out = []
-            for k, text in rows_of(batch, key, column):
+            for k, first, text in rows_of(batch, "conv_id", "turn", "record"):
                 record = _parsed(text)
                 m = BY_FINGERPRINT.get(fingerprint(field_paths(record))) if record is not None else None
                 if m:
-                    out += [(k, i, *t) for i, t in enumerate(_turns(record, m))]
+                    out += [(k, None if first is None else first + i, *t) for i, t in enumerate(_turns(record, m))]
             if out:
                 yield dict(zip(("conv_id", "turn", "role", "text"), zip(*out, strict=True), strict=True))
 
-    return map_arrow(records.select(key, column), run, "conv_id long, turn long, role string, text string")
+    return map_arrow(spread, run, "conv_id long, turn long, role string, text string")
 
 
 def _parsed(text: str | None) -> dict | None:
@@ -148,13 +157,28 @@ def unknown_records(records: DataFrame, key: str = "conv_id", column: str = "rec
     return map_arrow(records.select(key, column), run, "conv_id long, fingerprint string")
 
 
-def turns_of_table(rows: DataFrame) -> DataFrame:
-    """Canonical turns of a table with a turn in each row; the mapping is chosen by the table's own field paths."""
-    m = BY_FINGERPRINT.get(fingerprint(rows.columns))
-    if m is None or not m.role or m.turns:
-        raise ValueError(f"no mapping for a table of the fields {sorted(set(rows.columns) & _PATHS)}")
-    text, role = F.coalesce(F.col(m.text), F.lit("")), F.coalesce(F.col(m.role), F.lit(""))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+def records_of_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): each row of a table of turns as a JSON record, in one of several layouts by conversation.
+
+    No conversation is gathered. Roles that a layout has no name for are written as messages.
+    """
+    role, text = F.col("role"), F.col("text")
+    one = lambda name, r, t: F.to_json(F.struct(F.array(F.struct(r.alias(t[0]), text.alias(t[1]))).alias(name)), {"ignoreNullFields": "false"})
+    field = lambda name: F.to_json(F.struct(text.alias(name)), {"ignoreNullFields": "false"})
+    messages = one("messages", role, ("role", "content"))
+    layouts = [
+        F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}),
+        messages,
+        F.when(role.isin("user", "assistant", "system"), one("conversations", F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role), ("from", "value"))),
+        one("dialog", role, ("speaker", "utterance")),
+        F.when(role == "user", field("prompt")).when(role == "assistant", field("completion")),
+        F.when(role == "user", field("instruction")).when(role == "assistant", field("output")).when(role == "system", field("system")),
+    ]
+    which = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(len(layouts)))
+    record = F.lit(None).cast("string")
+    for k, layout in enumerate(layouts):
+        record = F.when(which == k, layout).otherwise(record)
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(record, messages).alias("record"))
 
 
 def escape(text: str) -> str:
@@ -231,10 +255,11 @@ def _closed(conv, state: list) -> tuple:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and conversation -1 whose texts are control strings."""
+    """All conversations, and conversation -1 whose texts are control strings; as records of mixed layouts, told apart by fingerprint."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return digests(format_turns(turns_of_table(rows.unionByName(odd))))
+    records = records_of_turns(rows.unionByName(odd))
+    return digests(format_turns(turns_of_records(records, turn="turn")))
 
 
 #: What doesn't depend on the template, in SQL; formatted_chars is the template's own.
