@@ -2,16 +2,17 @@
 
 Texts are cut into sentences, once with line ends as cuts, once across lines
 (for wrapped licence texts) and once across the lines of each paragraph, and
-normalised. A known sentence that has a cut inside, as after "free software:",
-is looked for in runs of neighbouring sentences. A sentence that is known has an
+normalised. Parts of known sentences have marks; a known sentence is found
+where its marks stand side by side, as those of "free software: you can ...",
+which a sentence end cuts. At each place the longest one counts. It has an
 identifier; the identifiers of a document, in order, are matched against
 ordered rules, each of which names a licence and a sequence of identifiers that
 must occur in that order (others may stand between). A rule is skipped if one
 that covers it has matched.
 
-Only DataFrame functions are used, without any shuffle: the library of
-sentences and rules is fixed, and texts without a word that every known
-sentence has one of are not cut at all.
+Only DataFrame functions are used, without any shuffle: sentences and rules are
+a library (a parameter) of a small, fixed size, and texts without any part of a
+word that every known sentence has one of are not cut at all.
 
 Defined results: null and empty texts have no sentences and no licence;
 repeated rows are scanned each for itself; null ids are kept; other columns are
@@ -20,101 +21,33 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, lower_az, table
+from tessera.llm.license_library import END, LIBRARY, OTHER, Library
 
-#: Known licence sentences, normalised.
-SENTENCES = {
-    "apache-name": "licensed under the apache license version 2 0",
-    "apache-name-the": "licensed under the apache license version 2 0 the license",
-    "apache-may-not": "you may not use this file except in compliance with the license",
-    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache-spdx": "spdx license identifier apache 2 0",
-    "mit-name": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "mit-spdx": "spdx license identifier mit",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl3-name": "this work is licensed under the gnu general public license version 3",
-    "gpl3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-spdx": "spdx license identifier gpl 3 0 or later",
-    "cc-by": "licensed under cc by 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "reserved": "all rights reserved",
-}
-#: Every sentence above has one of these within a word, where normalising changes nothing but case.
-ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant")
-#: The sentences above that have cuts inside, how many sentences they are cut into at most, and words of which each has one.
-CUT = ("apache-spdx", "mit-spdx", "gpl3-grant", "gpl2-grant", "gpl-spdx")
-CUT_PARTS = 3
-CUT_ANCHORS = ("spdx", "redistribute")
-#: Fixed values, in order: rule, licence, sentences in order, and the earlier rules that cover it.
-RULES = (
-    ("apache-header", "Apache-2.0", ("apache-name-the", "apache-may-not", "apache-as-is"), ()),
-    ("apache-short", "Apache-2.0", ("apache-name-the",), ("apache-header",)),
-    ("apache-notice", "Apache-2.0", ("apache-name",), ("apache-header", "apache-short")),
-    ("apache-spdx", "Apache-2.0", ("apache-spdx",), ("apache-header", "apache-short", "apache-notice")),
-    ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-as-is"), ()),
-    ("mit-notice", "MIT", ("mit-name",), ("mit-text",)),
-    ("mit-licensed", "MIT", ("mit-licensed",), ("mit-text", "mit-notice")),
-    ("mit-spdx", "MIT", ("mit-spdx",), ("mit-text", "mit-notice", "mit-licensed")),
-    ("bsd-three", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ()),
-    ("bsd-two", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), ("bsd-three",)),
-    ("gpl3-text", "GPL-3.0-or-later", ("gpl3-grant",), ()),
-    ("gpl3-spdx", "GPL-3.0-or-later", ("gpl-spdx",), ("gpl3-text",)),
-    ("gpl3-notice", "GPL-3.0-only", ("gpl3-name",), ("gpl3-text", "gpl3-spdx")),
-    ("gpl2-text", "GPL-2.0-or-later", ("gpl2-grant",), ()),
-    ("cc-by-nc", "CC-BY-NC-4.0", ("cc-by-nc",), ()),
-    ("cc-by-nc-work", "CC-BY-NC-4.0", ("cc-by-nc-work",), ("cc-by-nc",)),
-    ("cc-by-sa", "CC-BY-SA-4.0", ("cc-by-sa",), ()),
-    ("cc-by", "CC-BY-4.0", ("cc-by",), ()),
-    ("reserved", "Proprietary", ("reserved",), ()),
-)
-
-_END = r"[.!?;:]+([ \t\r\n\f\x0B]|\z)"
-_OTHER = r"[^a-z0-9]+"
 #: Line ends around lines without a letter or digit, as comment signs stay on blank lines.
 _BLANK = r"\n[^a-z0-9]*\n"
+#: The mark of sentences that aren't known.
+_UNKNOWN = "<->"
 
 
-def _library(ids: Iterable[str]) -> Column:
-    return F.create_map(*(F.lit(x) for i in ids for x in (SENTENCES[i], i)))
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, _OTHER, " "))
+def _any(library: Library) -> str:
+    """Matches the marks of any known sentence, longer ones first."""
+    return "|".join(library.runs)
 
 
-def _known(text: Column) -> Column:
+def _known(text: Column, library: Library) -> Column:
     """Identifiers of the known sentences of a lower-cased text, in order."""
-    library, cut = _library(SENTENCES), _library(CUT)
-    sentences = F.split(F.regexp_replace(text, _END, "\n"), "\n", -1)
-    near = F.filter(sentences, lambda s: _has(s, ANCHORS))
-    whole = F.array_compact(F.transform(near, lambda s: F.try_element_at(library, _normal(s))))
-    parts = F.filter(F.transform(sentences, _normal), lambda s: s != "")
-    # each with those after it; zipped, as a lambda that looks into the array would build it anew for each entry
-    runs = F.arrays_zip(parts, *(F.slice(parts, k + 1, 1 << 30) for k in range(1, CUT_PARTS)))
-
-    def of_run(run: Column) -> Column:
-        said, found = run["0"], [F.try_element_at(library, run["0"])]
-        for k in range(1, CUT_PARTS):
-            said = F.concat(said, F.lit(" "), run[str(k)])
-            found.append(F.try_element_at(cut, said))
-        return F.array_compact(F.array(*found))
-
-    return F.when(_has(text, CUT_ANCHORS), F.flatten(F.transform(runs, of_run))).otherwise(whole)
+    said = F.transform(F.split(F.regexp_replace(text, END, "\n"), "\n", -1), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+    marks = F.transform(F.filter(said, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(_map(library.marks), s), F.lit(_UNKNOWN)))
+    found = F.regexp_extract_all(F.array_join(marks, ""), F.lit(_any(library)), 0)
+    return F.transform(found, lambda m: F.element_at(_map(library.runs), m))
 
 
 def _has(text: Column, anchors: tuple[str, ...]) -> Column:
@@ -126,67 +59,71 @@ def _has(text: Column, anchors: tuple[str, ...]) -> Column:
 
 def _pattern(ids: tuple[str, ...]) -> str:
     """Matches ',a,b,c,' if the identifiers occur in order."""
-    return "," + ",(.*,)?".join(ids) + ","
+    return "," + ",(.*,)?".join(i.replace(".", "[.]") for i in ids) + ","
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, library: Library = LIBRARY) -> DataFrame:
     """doc_id, sentence_ids (in order, by lines, then those found only across lines, then those only within paragraphs), rules and licences, as arrays."""
     text = lower_az(F.coalesce("text", F.lit("")))
     none = F.array().cast("array<string>")
-    lower = docs.select("doc_id", text.alias("t")).withColumn("near", _has(F.col("t"), ANCHORS))
+    lower = docs.select("doc_id", text.alias("t")).withColumn("near", _has(F.col("t"), library.anchors))
     one_line = lambda c: F.translate(c, "\n", " ")
     readings = {
-        "by_line": F.when(F.col("near"), _known(F.col("t"))),
-        "across": F.when(F.col("near"), _known(one_line("t"))),
-        "paragraphs": F.when(F.col("near") & F.rlike("t", F.lit(_BLANK)), _known(one_line(F.regexp_replace("t", _BLANK, ".\n")))),
+        "by_line": F.when(F.col("near"), _known(F.col("t"), library)),
+        "across": F.when(F.col("near"), _known(one_line("t"), library)),
+        "paragraphs": F.when(F.col("near") & F.rlike("t", F.lit(_BLANK)), _known(one_line(F.regexp_replace("t", _BLANK, ".\n")), library)),
     }
     found = lower.select("doc_id", *(c.otherwise(none).alias(name) for name, c in readings.items()))
     in_lines = F.concat("by_line", F.array_except("across", "by_line"))
     ids = found.select("doc_id", F.concat(in_lines, F.array_except("paragraphs", in_lines)).alias("sentence_ids"), *(
         F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")).alias(f"s_{c}") for c in readings))
-    hit: dict[str, Column] = {}
-    for rule, _, sequence, covered in RULES:
-        p = F.lit(_pattern(sequence))
-        hit[rule] = F.rlike("s_by_line", p) | F.rlike("s_across", p) | F.rlike("s_paragraphs", p)
-        for c in covered:
-            hit[rule] = hit[rule] & ~hit[c]
-    rules = F.array_compact(F.array(*(F.when(h, F.lit(r)) for r, h in hit.items())))
-    licences = F.array_compact(F.array(*(F.when(hit[r], F.lit(name)) for r, name, _, _ in RULES)))
-    some = F.size("sentence_ids") > 0
-    return ids.select("doc_id", "sentence_ids", F.when(some, rules).otherwise(none).alias("rules"), F.when(some, F.array_distinct(licences)).otherwise(none).alias("licences"))
+    raw = F.array_compact(F.array(*(
+        F.when(F.rlike("s_by_line", p) | F.rlike("s_across", p) | F.rlike("s_paragraphs", p), F.lit(rule))
+        for rule, p in ((r, F.lit(_pattern(sequence))) for r, _, sequence, _ in library.rules))))
+    matched = ids.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, raw).otherwise(none).alias("raw"))
+    covers = _map({r: "," + ",".join(c) + "," for r, _, _, c in library.rules})
+    stands = F.filter("raw", lambda r: ~F.exists("raw", lambda c: F.contains(F.element_at(covers, r), F.concat(F.lit(","), c, F.lit(",")))))
+    rules = matched.select("doc_id", "sentence_ids", F.when(F.size("raw") > 0, stands).otherwise(none).alias("rules"))
+    licence = _map({r: n for r, n, _, _ in library.rules})
+    return rules.select("*", F.array_distinct(F.transform("rules", lambda r: F.element_at(licence, r))).alias("licences"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents."""
+    """All documents, with the default library."""
     out = scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "rules", "licences")))
 
 
-def _sql() -> str:
-    pairs = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
-    rules = ", ".join(f"({k}, '{r}', '{n}', '{_pattern(s)}', [{', '.join(repr(c) for c in cov)}]::VARCHAR[])" for k, (r, n, s, cov) in enumerate(RULES))
+def sql(library: Library = LIBRARY) -> str:
+    """The same rows, without the check for parts of words."""
+    marks = ", ".join(f"('{s}', '{m}')" for s, m in library.marks.items())
+    runs = ", ".join(f"('{m}', '{i}')" for m, i in library.runs.items())
+    rules = ", ".join(f"({k}, '{r}', '{n}', '{_pattern(s)}', [{', '.join(repr(c) for c in cov)}]::VARCHAR[])" for k, (r, n, s, cov) in enumerate(library.rules))
+    cut = lambda t: f"string_split(regexp_replace({t}, '{END}', chr(10), 'g'), chr(10))"
     return rf"""
-WITH lib(s, id) AS (VALUES {pairs}),
+WITH marks(s, mark) AS (VALUES {marks}),
+runs(run, id) AS (VALUES {runs}),
 rules(k, rule, licence, pattern, covered) AS (VALUES {rules}),
-d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-parts AS (
-  SELECT doc_id, 'line' AS how, string_split(regexp_replace(t, '{_END}', chr(10), 'g'), chr(10)) AS p FROM d
-  UNION ALL SELECT doc_id, 'across', string_split(regexp_replace(replace(t, chr(10), ' '), '{_END}', chr(10), 'g'), chr(10)) FROM d),
-s AS (SELECT doc_id, how, unnest(p) AS s, unnest(range(len(p))) AS i FROM parts),
-k AS (SELECT doc_id, how, i, id FROM (SELECT doc_id, how, i, trim(regexp_replace(s, '{_OTHER}', ' ', 'g')) AS s FROM s) x JOIN lib USING (s)),
-seq AS (SELECT doc_id, how, ',' || string_agg(id, ',' ORDER BY i) || ',' AS q FROM k GROUP BY doc_id, how),
-ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY o, i) AS sentence_ids, count(*) AS n FROM (
-  SELECT doc_id, 0 AS o, i, id FROM k WHERE how = 'line'
-  UNION ALL SELECT doc_id, 1, min(i), id FROM k WHERE how = 'across' AND NOT EXISTS (SELECT 1 FROM k k2 WHERE k2.how = 'line' AND k2.doc_id = k.doc_id AND k2.id = k.id) GROUP BY doc_id, id)
-  GROUP BY doc_id),
-raw AS (SELECT DISTINCT doc_id, r.k, rule, licence, covered FROM seq JOIN rules r ON regexp_matches(q, pattern)),
-hit AS (SELECT * FROM raw a WHERE NOT EXISTS (SELECT 1 FROM raw b WHERE b.doc_id = a.doc_id AND list_contains(a.covered, b.rule))),
-named AS (SELECT doc_id, min(k) AS k, licence FROM hit GROUP BY doc_id, licence),
-r AS (SELECT doc_id, string_agg(rule, ',' ORDER BY k) AS rules FROM hit GROUP BY doc_id),
-l AS (SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM named GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
-FROM d LEFT JOIN ids USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+d AS (SELECT doc_id, row_number() OVER () AS n, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+texts AS (
+  SELECT n, 0 AS how, {cut("t")} AS p FROM d
+  UNION ALL SELECT n, 1, {cut("replace(t, chr(10), ' ')")} FROM d
+  UNION ALL SELECT n, 2, {cut(f"replace(regexp_replace(t, '{_BLANK}', '.' || chr(10), 'g'), chr(10), ' ')")} FROM d),
+said AS (SELECT n, how, i, trim(regexp_replace(s, '{OTHER}', ' ', 'g')) AS s FROM (SELECT n, how, unnest(p) AS s, unnest(range(len(p))) AS i FROM texts)),
+marked AS (SELECT n, how, string_agg(coalesce(mark, '{_UNKNOWN}'), '' ORDER BY i) AS m FROM said LEFT JOIN marks USING (s) WHERE s <> '' GROUP BY n, how),
+found AS (SELECT n, how, unnest(r) AS run, unnest(range(len(r))) AS i FROM (SELECT n, how, regexp_extract_all(m, '{_any(library)}') AS r FROM marked)),
+known AS (SELECT n, how, i, id FROM found JOIN runs USING (run)),
+firsts AS (SELECT k.n, how, i, id, min(how) OVER (PARTITION BY k.n, id) AS least, row_number() OVER (PARTITION BY k.n, how, id ORDER BY i) AS r FROM known k),
+ids AS (SELECT n, string_agg(id, ',' ORDER BY how, i) AS sentence_ids, count(*) AS c FROM firsts WHERE how = least AND (how = 0 OR r = 1) GROUP BY n),
+seq AS (SELECT n, how, ',' || string_agg(id, ',' ORDER BY i) || ',' AS q FROM known GROUP BY n, how),
+raw AS (SELECT DISTINCT n, r.k, rule, licence, covered FROM seq JOIN rules r ON regexp_matches(q, pattern)),
+hit AS (SELECT * FROM raw a WHERE NOT EXISTS (SELECT 1 FROM raw b WHERE b.n = a.n AND list_contains(a.covered, b.rule))),
+named AS (SELECT n, min(k) AS k, licence FROM hit GROUP BY n, licence),
+r AS (SELECT n, string_agg(rule, ',' ORDER BY k) AS rules FROM hit GROUP BY n),
+l AS (SELECT n, string_agg(licence, ',' ORDER BY k) AS licences FROM named GROUP BY n)
+SELECT doc_id, coalesce(c, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
+FROM d LEFT JOIN ids USING (n) LEFT JOIN r USING (n) LEFT JOIN l USING (n)
 """
 
 
-SQL = _sql()
+SQL = sql()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +10,8 @@ from tokenizers import Tokenizer
 
 from tests.llm import helpers as H
 from tessera.llm import bpe, chat, licenses, quality_fm, quality_rules, toxicity
-from tessera.llm.text_model import bucket, calibrated, sigmoid
+from tessera.llm.license_library import LIBRARY, Library, parts
+from tessera.llm.text_model import bucket, calibrated, sample, sigmoid
 
 
 @pytest.fixture(scope="module")
@@ -106,10 +108,19 @@ def test_folding_weights_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 2.0, "idi": 1.0, "trash": 3.0}, ("trash can",), (1.0, 1.0, 1.0, -2.0))
     assert lex.hits(toxicity.fold("an ІDІ0T!")) == {3: 2.0}  # Cyrillic I, digit nought
     assert not lex.hits(toxicity.fold("put it in the Trash can, please"))
+    assert not lex.hits(toxicity.fold("put it in the trash, can?")) and not lex.hits(toxicity.fold("trash  can, TRASH\ncan"))
     assert len(lex.hits(toxicity.fold("trash talk, 7rash"))) == 2
     assert lex.score(toxicity.fold("idiot")) > lex.score(toxicity.fold("idiot " + "word " * 500)) > lex.score(toxicity.fold(""))
 
 
+def test_exceptions_are_learned_as_they_are_matched():
+    texts = ["the trash, can is full"] * 9 + ["you trash  talker", "trash people", "trash!"] * 6
+    y = np.array([0.0] * 9 + [1.0] * 18)
+    weights, exceptions = toxicity.learn_entries([toxicity.fold(t) for t in texts], y)
+    lexicon = toxicity.Lexicon({"trash": 1.0}, exceptions or ("trash can",))
+    assert not lexicon.hits(toxicity.fold("trash... can")) and lexicon.hits(toxicity.fold("trash talk"))
+
+
 def test_calibration():
     z = np.linspace(-3, 3, 400)
     y = (np.random.default_rng(0).random(400) < sigmoid(2 * z - 1)).astype(float)
@@ -118,8 +129,6 @@ def test_calibration():
 
 
 def test_bucket_is_crc32(spark):
-    import zlib
-
     from pyspark.sql import functions as F
 
     got = spark.range(50).select("id", bucket(F.col("id"), 5).alias("b")).collect()
@@ -131,7 +140,7 @@ TURNS = [(1, 0, "user", "a\\b </s> <|end|>"), (1, 1, "assistant", "[INST]<|turn|
 
 def test_chat_round_trip(spark):
     df = H.with_clashes(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumnRenamed("turn", "turn"))
-    chunks = chat.format_turns(chat.turns_of_table(df)).collect()
+    chunks = chat.format_turns(chat.turns_of_records(chat.records_of_turns(df), turn="turn")).collect()
     got = {}
     for c in chunks:
         role, text = chat.parse(c.chunk)
@@ -140,7 +149,7 @@ def test_chat_round_trip(spark):
         got.setdefault(c.conv_id, []).append((role, text))
     assert got[1] == [("user", "a\\b </s> <|end|>"), ("assistant", "[INST]<|turn|>x\n"), ("assistant", "tie")]
     assert got[2] == [("", "")] and got[3] == [("odd\nrole", "<|im_end|>\\")] and got[None] == [("assistant", "n")]
-    d = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.turns_of_table(df))).collect()}
+    d = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.turns_of_records(chat.records_of_turns(df), turn="turn"))).collect()}
     assert d[1].n_turns == 3 and d[1].loss_chars == len("[INST]<|turn|>x\ntie") and d[1].loss_sha256 == H.sha("[INST]<|turn|>x\ntie")
     assert d[1].formatted_chars == sum(len(c.chunk) for c in chunks if c.conv_id == 1)
 
@@ -161,7 +170,6 @@ def test_layouts(spark):
 
 
 def test_licences(spark, rows):
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files (the \"Software\"), to deal in the\nSoftware without restriction, including without limitation the rights to use, copy,\nmodify, merge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to the\nfollowing conditions:\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind, express or implied,\nincluding but not limited to the warranties of merchantability, fitness for a\nparticular purpose and noninfringement."
     docs = rows + [(50, wrapped, "", "", 0), (51, "x\nAll Rights Reserved\nLicensed under CC BY-NC 4.0.", "", "", 0), (52, "licensed under something", "", "", 0)]
     got = {(r.doc_id, r.licences and tuple(r.licences)) for r in licenses.scan(H.with_clashes(H.frame(spark, docs))).collect() if r.licences}
@@ -225,9 +233,9 @@ def test_canonical_licence_texts(spark):
         "apache-header": [APACHE, commented(APACHE, " *"), commented(APACHE, "#")],
         "gpl3-text": [GPL3, commented(GPL3, "#"), GPL3.replace("\n", "\r\n")],
         "gpl2-text": [GPL2, commented(GPL2, " *"), " ".join(GPL2.split())],
-        "mit-spdx": ["SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT\nimport os\n", "/* SPDX-License-Identifier: MIT */"],
-        "apache-spdx": ["// SPDX-License-Identifier: Apache-2.0\nint x;"],
-        "gpl3-spdx": ["x\n# SPDX-License-Identifier: GPL-3.0-or-later\n\ny"],
+        "spdx-MIT": ["SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT\nimport os\n", "/* SPDX-License-Identifier: MIT */"],
+        "spdx-Apache-2.0": ["// SPDX-License-Identifier: Apache-2.0\nint x;"],
+        "spdx-GPL-3.0-or-later": ["x\n# SPDX-License-Identifier: GPL-3.0-or-later\n\ny"],
         "": ["SPDX-License-Identifier: x\nMIT", "MIT", "This program is free software: you can redistribute it", "spdx license identifier"],
     }
     rows = [(t, rule) for rule, of in texts.items() for t in of]
@@ -235,15 +243,107 @@ def test_canonical_licence_texts(spark):
     assert {r.doc_id: ",".join(r.rules) for r in got} == {i: rule for i, (_, rule) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("anchors", [licenses.ANCHORS, licenses.CUT_ANCHORS])
-def test_licence_anchors_are_within_words(anchors):
-    assert all(a.isascii() and a.isalnum() and a.islower() for a in anchors)
+def test_licence_anchors_are_within_words():
+    for library in (LIBRARY, Library({"x": "One two, three-four."}, ())):
+        assert all(a.isascii() and a.isalnum() and a.islower() for a in library.anchors)
+        assert all(any(a in w for a in library.anchors for w in " ".join(parts(t)).split()) for t in library.sentences.values())
 
 
-def test_licence_anchors_lose_nothing(spark):
+def test_licences_wrapped_at_every_word(spark):
+    """The check for parts of words loses nothing, and the SQL, which hasn't it, gives the same rows."""
+    duckdb = pytest.importorskip("duckdb")
     texts = ["All rights\nreserved.", "All rights  reserved", "x. All rights\u00a0reserved", "ALL RIGHTS, RESERVED", "All rights\r\nreserved.", "all\nrights\nreserved!\nx"]
-    # each known sentence as its words on lines of their own, and with signs between them
-    known = list(licenses.SENTENCES.items())
-    rows = [("reserved", t) for t in texts] + [(i, s.replace(" ", sep)) for i, s in known for sep in ("\n", ", ", "\r\n", "\u00a0")]
-    got = licenses.scan(H.frame(spark, [(k, t, "", "", 0) for k, (_, t) in enumerate(rows)])).collect()
+    rows = [("reserved", t) for t in texts]
+    for text in LIBRARY.sentences.values():
+        name = LIBRARY.runs["".join(LIBRARY.marks[p] for p in parts(text))]
+        rows += [(name, text.replace(" ", sep)) for sep in ("\n", "  ", "\r\n", "\n\n", "\n // ")]
+        if len(parts(text)) == 1:
+            rows += [(name, text.replace(" ", sep)) for sep in (", ", "\u00a0")]
+    docs = H.frame(spark, [(k, t, "", "", 0) for k, (_, t) in enumerate(rows)])
+    got = licenses.scan(docs).collect()
     assert {r.doc_id: r.sentence_ids for r in got} == {k: [i] for k, (i, _) in enumerate(rows)}
+    more = [MIT, APACHE, GPL3, GPL2, MIT + "\n\n" + APACHE, "MIT", "SPDX-License-Identifier: MIT\n\n\nAll rights reserved. x", "licensed under", "", None, *(t for _, t in rows)]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(more)))
+    want = con.execute(licenses.SQL).fetchall()
+    found = licenses.scan(H.frame(spark, [(k, t, "", "", 0) for k, t in enumerate(more)])).collect()
+    assert H.ordered(want) == H.ordered((r.doc_id, len(r.sentence_ids), ",".join(r.sentence_ids), ",".join(r.rules), ",".join(r.licences)) for r in found)
+
+
+def test_a_library_of_one_s_own(spark):
+    own = Library({"a": "Use freely: it is yours.", "b": "Give it back."}, (("both", "X-1.0", ("a", "b"), ()), ("one", "X-0.5", ("a",), ("both",))))
+    docs = H.frame(spark, [(1, "use freely:\nit is yours\n\nsomething\n\ngive it back", "", "", 0), (2, "Use freely: it is yours", "", "", 0), (3, "use freely. it was yours. it is yours", "", "", 0)])
+    assert {r.doc_id: (r.rules, r.licences) for r in licenses.scan(docs, own).collect()} == {1: (["both"], ["X-1.0"]), 2: (["one"], ["X-0.5"]), 3: ([], [])}
+    with pytest.raises(ValueError, match="sentences"):
+        Library({"a": "Use freely."}, (("r", "X", ("c",), ()),))
+
+
+def _labelled(spark, tmp_path, flip):
+    """Documents and labels; ``flip`` turns the labels of held-out rows, by the remainder that holds them out."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(240):
+        toxic, good = i % 3 == 0, i % 2 == 0
+        text = " ".join(H.words(rng, 40))
+        rows.append((i, (text if good else text.replace(" ", "!! ").upper()) + (" m0ron idi0t" if toxic else ""), "en", "s", 0))
+        held = {n: zlib.crc32(str(i).encode()) % n == r for n, r in ((3, 1), (5, 0))}
+        labels.append((i, int(good) ^ int(flip and held[3]), int(toxic) ^ int(flip and held[5])))
+    name = f"{tmp_path}/{int(flip)}"
+    H.frame(spark, rows).write.parquet(f"{name}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{name}/labels.parquet")
+    return name
+
+
+@pytest.mark.parametrize(("query", "n", "remainder", "label"), [(quality_fm.op1_quality_fm, 3, 1, "quality"), (toxicity.op2_toxicity, 5, 0, "toxic")])
+def test_held_out_labels_are_never_learned(spark, tmp_path, query, n, remainder, label):
+    names = [_labelled(spark, tmp_path, flip) for flip in (False, True)]
+    a, b = ({r.doc_id: r for r in query(spark, name).collect()} for name in names)
+    assert len(a) == 240 and {i: r.score for i, r in a.items()} == {i: r.score for i, r in b.items()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % n == remainder) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for i, r in a.items())
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{names[0]}/labels.parquet").collect()}
+    held = [i for i, r in a.items() if r.held_out]
+    assert np.mean([a[i].predicted == truth[i] for i in held]) > 0.9
+
+
+@pytest.mark.parametrize("fit", [quality_fm.fit, toxicity.fit, quality_rules.fit])
+def test_fitting_without_labels(spark, rows, fit):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert fit(H.frame(spark, rows), labels) is not None and fit(H.frame(spark, []), labels) is not None
+
+
+def test_samples_are_the_same_whatever_the_order(spark):
+    docs = H.frame(spark, [(i % 30, f"text {i}", "", "", 0) for i in range(300)] + [(None, "x", "", "", 0), (1, None, "", "", 0)])
+    labels = spark.createDataFrame([(i % 30, i % 2, 0) for i in range(90)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    first = sample(docs, labels, "quality", F.lit(True), rows=20)
+    again = sample(docs.repartition(7), labels.orderBy(F.desc("doc_id")), "quality", F.lit(True), rows=20)
+    assert first[0] == again[0] and len(first[0]) == 20 and (first[1] == again[1]).all()
+
+
+def test_empty_tables(spark):
+    none = H.frame(spark, [])
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert bpe.digests(none).count() == bpe.encode(none).count() == 0
+    assert quality_rules.quality(none, quality_rules.train([], np.zeros(0))).count() == 0
+    assert chat.digests(chat.format_turns(chat.turns_of_records(chat.records_of_turns(turns), turn="turn"))).count() == 0
+
+
+def test_records_of_every_layout_come_back(spark):
+    turns = [(c, t, r, x) for c in (*range(-1, 12), None) for t, (r, x) in enumerate([("user", "q\n\"1\""), ("assistant", None), ("system", ""), (None, "n"), ("human", "\u2028 é"), ("gpt", "g")])]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    records = chat.records_of_turns(H.with_clashes(df))
+    assert len({chat.fingerprint(chat.field_paths(json.loads(r.record))) for r in records.collect()}) >= 9
+    got = H.ordered(chat.turns_of_records(records, turn="turn").collect())
+    assert got == H.ordered((c, t, r or "", x or "") for c, t, r, x in turns)
+    assert chat.unknown_records(records).count() == 0
+
+
+def test_bpe_rejects_what_one_pass_can_t_merge():
+    spec = json.loads(bpe.tokenizer_json())
+    merges = spec["model"]["merges"]
+    at = next(i for i, m in enumerate(merges) if "".join(m if isinstance(m, list) else m.split(" ")) in {x for n in merges[i + 1 :] for x in (n if isinstance(n, list) else n.split(" "))})
+    spec["model"]["merges"] = [*merges[:at], *merges[at + 1 :], merges[at]]
+    with pytest.raises(ValueError, match="one pass"):
+        bpe.Bpe(json.dumps(spec))
