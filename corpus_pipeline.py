@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``. A stage first deletes scratch tables of stages whose
-output has been written, that is, those that its own input doesn't read.
+columns of ``documents``. A stage deletes its own scratch tables but the small
+ones that its result reads; ``run`` deletes those too, and the stage's input,
+once its output is written.
+
+Defined results: rows with null or repeated ids are told apart by id and text;
+null and empty texts fail the quality rules; other columns go through as they
+are; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,24 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera import scratch
 from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def _after_written(stage: Stage) -> Stage:
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(spark, keep_for=docs)
-        scratch.settle(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", _after_written(quality_rules.stage)),
-    ("line_dedup", _after_written(line_dedup.stage)),
-    ("jaccard_join", _after_written(jaccard_join.stage)),
-    ("decontaminate", _after_written(decontaminate.stage)),
-    ("bpe", _after_written(bpe.stage)),
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("decontaminate", decontaminate.stage),
+    ("bpe", bpe.stage),
 ]
 
 #: The first stage's classifier can't be expressed in SQL; the tests hold the stages against plain versions.
@@ -42,8 +35,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``; each but the last is written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.materialize(docs, f"stage-{name}")
-    return docs
+    *first, (_, last) = STAGES
+    with scratch.owner() as made:
+        for name, stage in first:
+            docs = scratch.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.keep(docs)
+        return last(spark, docs, sf_dir)

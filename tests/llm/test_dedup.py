@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
-from tessera.llm import decontaminate, jaccard_join, line_dedup, substring_dedup
+from tessera.llm import common, decontaminate, jaccard_join, line_dedup, substring_dedup
 from tessera.llm.common import hash_words, hot_keys, spread_join, window_hashes
 
 
@@ -32,6 +32,14 @@ def test_jaccard(spark, rows):
     assert H.ordered(found.collect()) == H.ordered(H.components(rows))
 
 
+def test_jaccard_with_everything_dealt_over_parts(spark, rows, monkeypatch):
+    """With few rows a part, each join of postings, pairs, components and copies goes through parts."""
+    monkeypatch.setattr(common, "HOT_SHARE", 7)
+    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    found = jaccard_join.jaccard_components(H.frame(spark, rows + rows[6:8] * 5))
+    assert H.ordered(found.collect()) == H.ordered(H.components(rows + rows[6:8] * 5))
+
+
 def test_jaccard_stage_keeps_one_of_each(spark, rows):
     docs = H.frame(spark, [r for r in rows if r[0] is not None])
     kept = jaccard_join.stage(spark, docs, "")

@@ -4,7 +4,43 @@ import random
 
 import corpus_pipeline
 from tests.llm import helpers as H
-from tessera.llm import quality_rules
+from tessera.llm import decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup
+
+
+def write(spark, folder, rows, items=(), labels=()):
+    H.with_clashes(H.frame(spark, rows)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_results_built_one_after_another_can_all_be_read(spark, tmp_path):
+    """Nothing that a result reads is deleted by what is built after it."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(H.words(rng, 60, 900)), "en", "s", 0) for i in range(40)]
+    folder = write(spark, tmp_path / "d", rows + rows[:3], [(1, rows[5][1])])
+    hits = decontaminate.op3_decontaminate(spark, folder)
+    lines, links, cut = line_dedup.op6_line_dedup(spark, folder), jaccard_join.op7_jaccard_join(spark, folder), substring_dedup.op8_substring_dedup(spark, folder)
+    first, second = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    stages = [(n, s(spark, H.frame(spark, rows), folder)) for n, s in corpus_pipeline.STAGES]
+    assert [d.count() for d in (hits, lines, links, cut)] == [43] * 4
+    assert first.count() == second.count() == 39
+    assert all(d.count() >= 39 for _, d in stages)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    rng = random.Random(2)
+    item = " ".join(H.words(rng, 12, 4000))
+    texts = [" ".join(H.words(rng, 50, 4000)) for _ in range(8)]
+    rows = [(None, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0), (7, texts[2], "en", "s", 0), (7, texts[3], "en", "s", 0), (None, None, None, None, None), (8, "", "", "", 0)]
+    rows += [(None, f"{texts[4]} {item}", "en", "s", 0), (7, f"{item} {texts[5]}", "en", "s", 0), (9, texts[6], "en", "s", 0), (9, texts[6], "en", "s", 0), (10, " ".join(H.words(rng, 30000, 90000)), "en", "s", 0)]
+    folder = write(spark, tmp_path / "a", rows, [(1, item), (None, None)])
+    got = corpus_pipeline.run(spark, folder)
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["10", "7", "7", "9", "None", "None"]
+    assert corpus_pipeline.run(spark, write(spark, tmp_path / "e", [])).count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
