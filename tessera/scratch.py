@@ -14,10 +14,8 @@ of which is the process.
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -113,18 +111,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession, keep_for: DataFrame | None = None) -> None:
-    """Nothing: tables belong to owners."""
-
-
-def settle(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that have ended."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 @atexit.register
 def _at_exit() -> None:
     for path, spark in list(_process.paths.items()):
