@@ -21,7 +21,8 @@ candidate through to the next level. Rows are told apart by 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,134 +53,129 @@ def lowest(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[width - span : width - span + n])
 
 
-class Windows:
-    """The windows of one length in a text: the first half of their hashes and, if asked for, the second."""
-
-    def __init__(self, words: list[bytes], length: int, whole: bool):
-        self.first = window_hashes(hash_words(words), length)
-        self.second = window_hashes(hash_words(words, second=True), length) if whole else None
-
-    def repeated(self, known: tuple[list[int], list[int]]) -> np.ndarray:
-        """Which windows are among the known ones (halves of their hashes)."""
-        if not known[0] or not len(self.first):
-            return np.zeros(len(self.first), bool)
-        a = np.asarray(known[0], np.int64).view(np.uint64)
-        order = np.argsort(a)
-        a = a[order]
-        at = np.minimum(np.searchsorted(a, self.first), len(a) - 1)
-        hit = a[at] == self.first
-        if self.second is None:
-            return hit
-        b = np.asarray(known[1], np.int64).view(np.uint64)[order]
-        if (a[1:] != a[:-1]).all():
-            return hit & (b[at] == self.second)
-        pairs = set(zip(a.tolist(), b.tolist(), strict=True))  # first halves clash
-        for i in np.flatnonzero(hit):
-            hit[i] = (int(self.first[i]), int(self.second[i])) in pairs
-        return hit
-
-    def counted(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows at the places ``chosen``, each once, or twice if it stands at several places of the text."""
-        a = self.first
-        b = a if self.second is None else self.second
-        order = np.argsort(a, kind="stable") if self.second is None else np.lexsort((b, a))
-        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-        group = np.empty(len(a), np.int64)
-        group[order] = np.cumsum(new) - 1
-        heads, sizes = order[new], np.bincount(group)
-        picked = np.unique(group[chosen])
-        places = np.repeat(heads[picked], np.minimum(sizes[picked], 2))
-        none = np.empty(0, np.int64)
-        return a[places].view(np.int64), none if self.second is None else b[places].view(np.int64)
-
-
 def stand_ins(first: np.ndarray, window: int, length: int) -> np.ndarray:
     """For each passage of ``window`` words, the hash of the lowest window of ``length`` words inside."""
     return lowest(first, window - length + 1)
 
 
-def _candidates(words: list[bytes], window: int | None, shorter: int | None, length: int, known: tuple, whole: bool) -> tuple | None:
-    """The hashes of a text to be counted at a level, given those repeated at the level before."""
-    if len(words) < (window or length):
+def judged(words: list[bytes], window: int, shorter: int | None, length: int, known: list[int]) -> np.ndarray | None:
+    """The stand-ins of ``length`` words of the passages that are alive, each once, or twice if it stands at several places of the text.
+
+    A passage is alive if its stand-in of ``shorter`` words is known to be repeated; at the first level all are.
+    """
+    if len(words) < window:
         return None
-    now = Windows(words, length, whole)
-    alive = None
+    h = hash_words(words)
+    k = window_hashes(h, length)
+    low = stand_ins(k, window, length)
     if shorter is not None:
-        was = Windows(words, shorter, whole and window is None)
-        if window is None:  # both halves of the longer window are repeated
-            ok = was.repeated(known)
-            alive = ok[: len(now.first)] & ok[length - shorter :]
-        else:
-            a = np.sort(np.asarray(known[0], np.int64).view(np.uint64))
-            low = stand_ins(was.first, window, shorter)
-            alive = a[np.minimum(np.searchsorted(a, low), len(a) - 1)] == low
-        if not alive.any():
-            return None
-    if window is None or length == window:
-        chosen = np.arange(len(now.first)) if alive is None else np.flatnonzero(alive)
-    else:
-        low = stand_ins(now.first, window, length)
-        chosen = np.flatnonzero(np.isin(now.first, low if alive is None else low[alive]))
-    return now.counted(chosen)
+        low = low[_alive(h, window, shorter, known)]
+    v = np.unique(low)
+    if not len(v):
+        return None
+    at = np.minimum(np.searchsorted(v, k), len(v) - 1)
+    times = np.bincount(at[v[at] == k], minlength=len(v))
+    return np.repeat(v, np.minimum(times, 2)).view(np.int64)
 
 
-_HASHES = "k1 long, k2 long, hashes array<long>, others array<long>"
+def _alive(h: np.ndarray, window: int, shorter: int, known: list[int]) -> np.ndarray:
+    a = np.sort(np.asarray(known, np.int64).view(np.uint64))
+    low = stand_ins(window_hashes(h, shorter), window, shorter)
+    return a[np.minimum(np.searchsorted(a, low), len(a) - 1)] == low
+
+
+def whole_windows(words: list[bytes], length: int, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Both halves of the hashes of the windows of ``length`` words, and their places; of those that are chosen by a flag, or of all."""
+    if len(words) < length:
+        return None
+    places = np.arange(len(words) - length + 1, dtype=np.int32) if chosen is None else np.flatnonzero(chosen).astype(np.int32)
+    if not len(places):
+        return None
+    a, b = (window_hashes(hash_words(words, second), length)[places].view(np.int64) for second in (False, True))
+    return a, b, places
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *row_keys("k1", "k2"))
 
 
-def _level(rows: DataFrame, state: DataFrame | None, window: int | None, shorter: int | None, length: int, whole: bool) -> DataFrame:
-    """The hashes to be counted at ``length`` of the rows that ``state`` (the level before) has, or of all."""
+def _emit(source: DataFrame, state: str | None, columns: str, find: Callable) -> DataFrame:
+    """The columns that ``find`` gives of each text's words and state; texts of which it gives none are left out."""
+    names, out_names = ["k1", "k2", "text"] + ([state] if state else []), [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"k1": [], "k2": [], "hashes": [], "others": []}
+            out: dict[str, list] = {c: [] for c in ("k1", "k2", *out_names)}
             for k1, k2, text, *known in rows_of(batch, *names):
-                found = _candidates(white_words(text), window, shorter, length, tuple(known), whole)
+                found = find(white_words(text), *known)
                 if found is not None:
                     for c, v in zip(out, (k1, k2, *found), strict=True):
                         out[c].append(v)
             yield out
 
-    names = ["k1", "k2", "text"] + ([] if state is None else ["hashes", "others"])
-    source = rows if state is None else rows.join(state, ["k1", "k2"])
-    return map_arrow(source.select(*names), run, _HASHES)
+    # the number of a row is fixed once the table is written
+    return map_arrow(source.select(*names), run, f"k1 long, k2 long, {columns}").withColumn("row", F.monotonically_increasing_id())
 
 
-def _repeated(emitted: DataFrame, whole: bool) -> DataFrame:
-    """(k1, k2, hashes, others): of each text, the hashes that occur twice or more in all texts."""
-    on = ["a", "b"] if whole else ["a"]
-    if whole:
-        flat = emitted.select("k1", "k2", F.explode(F.arrays_zip(F.col("hashes").alias("a"), F.col("others").alias("b"))).alias("x")).select("k1", "k2", "x.a", "x.b")
-    else:
-        flat = emitted.select("k1", "k2", F.explode("hashes").alias("a"))
+#: Places in a word of a bitmap.
+BITS = 63
+
+
+def _repeated(emitted: DataFrame, on: list[str], value: str) -> DataFrame:
+    """(k1, k2, state): of each text, the values of the entries whose hash ``on`` occurs twice or more in all texts.
+
+    ``emitted``, a written table, has an array of each of the columns. Hashes come as a set, places as the words of a bitmap.
+    """
+    names = list(dict.fromkeys([*on, value]))
+    flat = emitted.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *(f"x.{n}" for n in names))
     often = scratch.materialize(flat.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    total = emitted.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    kept = spread_join(flat, often, on, hot_keys(often, on, "n", total), ["k1", "k2"]).select("k1", "k2", *on).distinct()
-    each = F.collect_list(F.struct(*on)).alias("x")
-    others = F.col("x.b") if whole else F.array().cast("array<bigint>")
-    return kept.groupBy("k1", "k2").agg(each).select("k1", "k2", F.col("x.a").alias("hashes"), others.alias("others"))
+    total = emitted.agg(F.sum(F.size(on[0]))).first()[0] or 0
+    kept = spread_join(flat, often.select(*on), on, hot_keys(often, on, "n", total), ["row"])
+    if value in on:
+        found = kept.groupBy("row").agg(F.collect_set(value).alias("state"))
+    else:
+        word = F.floor(F.col(value) / BITS).cast("int").alias("word")
+        # both groupings find their rows where the repartition has put them
+        words = kept.repartition("row").groupBy("row", word).agg(F.bit_or(F.expr(f"shiftleft(1L, {value} % {BITS})")).alias("bits"))
+        found = words.groupBy("row").agg(F.collect_list(F.struct("word", "bits")).alias("state"))
+    # rows alike in id and text have the same state
+    return emitted.select("row", "k1", "k2").join(found, "row").groupBy("k1", "k2").agg(F.first("state").alias("state"))
+
+
+def places_of(state: list[dict]) -> np.ndarray:
+    """The places in a bitmap, ascending."""
+    word = np.array([w["word"] for w in state], np.int64)
+    bits = np.array([w["bits"] for w in state], np.int64)
+    flags = (bits[:, None] >> np.arange(BITS)) & 1
+    return np.sort((word[:, None] * BITS + np.arange(BITS))[flags > 0])
+
+
+_WHOLE = "a array<long>, b array<long>, places array<int>"
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """(k1, k2, hashes, others): of each text that has any, the halves of the hashes of its windows that occur twice or more.
+    """(k1, k2, state): of each text that has any, the places of its windows that occur twice or more, as a bitmap's words.
 
     (k1, k2) is the 128-bit key of (doc_id, text).
     """
     rows = _keyed(docs)
-    lengths = level_lengths(window, shortest)
+    *levels, _ = level_lengths(window, shortest)
     with scratch.owner() as made:
-        state = None
-        for shorter, length in zip([None, *lengths], lengths, strict=False):
-            whole = length == window
-            state = scratch.materialize(_level(rows, state, window, shorter, length, whole), "windows")
+        state, shorter = None, None
+        for length in levels:
+            source = rows if state is None else rows.join(state, ["k1", "k2"])
+            find = lambda words, known=None, shorter=shorter, length=length: None if (v := judged(words, window, shorter, length, known)) is None else (v,)
+            emitted = scratch.materialize(_emit(source, None if state is None else "state", "hashes array<long>", find), "windows")
+            made.keep(emitted)
+            state, shorter = scratch.materialize(_repeated(emitted, ["hashes"], "hashes"), "repeated"), length
             made.keep(state)
-            state = scratch.materialize(_repeated(state, whole), "repeated")
-            made.keep(state)
-            if state.isEmpty():
-                break
+        source = rows if state is None else rows.join(state, ["k1", "k2"])
+        choose = lambda words, known: _alive(hash_words(words), window, shorter, known) if len(words) >= window else None
+        find = lambda words, known=None: whole_windows(words, window, None if known is None else choose(words, known))
+        emitted = scratch.materialize(_emit(source, None if state is None else "state", _WHOLE, find), "windows")
+        made.keep(emitted)
+        state = scratch.materialize(_repeated(emitted, ["a", "b"], "places"), "repeated")
+        made.keep(state)
     return state
 
 
@@ -189,15 +185,28 @@ def repeat_lengths(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     A window of twice the length is a candidate if both its halves are repeated; the levels end when none is left.
     Rows without a repeated window of ``shortest`` words are left out.
     """
-    rows, reached, shorter, length, state = _keyed(docs), [], None, shortest, None
+    rows, reached, length, state = _keyed(docs), [], shortest, None
+
+    def find(words: list[bytes], known: list[dict] | None = None, length: int = shortest) -> tuple | None:
+        if known is None:
+            return whole_windows(words, length, None)
+        if len(words) < length:
+            return None
+        flags = np.zeros(len(words), bool)
+        flags[places_of(known)] = True
+        half, n = length // 2, len(words) - length + 1
+        return whole_windows(words, length, flags[:n] & flags[half : half + n])
+
     with scratch.owner() as made:
         while True:
-            found = scratch.materialize(_repeated(scratch.materialize(_level(rows, state, None, shorter, length, True), "windows"), True), "repeated")
-            if found.isEmpty():
+            source = rows if state is None else rows.join(state, ["k1", "k2"])
+            emitted = scratch.materialize(_emit(source, None if state is None else "state", _WHOLE, functools.partial(find, length=length)), "windows")
+            state = scratch.materialize(_repeated(emitted, ["a", "b"], "places"), "repeated")
+            if state.isEmpty():
                 break
-            reached.append(scratch.materialize(found.select("k1", "k2", F.lit(length).alias("length")), "reached"))
-            made.keep(found, *reached)
-            state, shorter, length = found, length, 2 * length
+            reached.append(scratch.materialize(state.select("k1", "k2", F.lit(length).alias("length")), "reached"))
+            made.keep(state, *reached)
+            length *= 2
         made.keep(*reached)
     if not reached:
         return rows.select("doc_id", F.lit(0).alias("length")).limit(0)
@@ -207,11 +216,11 @@ def repeat_lengths(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return rows.join(longest.groupBy("k1", "k2").agg(F.max("length").alias("length")), ["k1", "k2"]).select("doc_id", "length")
 
 
-def covered_words(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which words lie in a window that starts at a flagged place; ``starts`` has a flag for each window."""
+def covered_words(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
+    """Which words lie in a window that starts at one of the (distinct) places."""
     edge = np.zeros(n_words + 1, np.int32)
-    edge[: len(starts)] += starts
-    edge[window : window + len(starts)] -= starts
+    edge[places] += 1
+    edge[places + window] -= 1
     return np.cumsum(edge[:n_words]) > 0
 
 
@@ -225,19 +234,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, counts, removed, kept = [], [], [], []
-            for doc_id, text, *known in rows_of(batch, "doc_id", "text", "hashes", "others"):
+            for doc_id, text, state in rows_of(batch, "doc_id", "text", "state"):
                 words = white_words(text)
-                gone = np.zeros(0, bool)
-                if known[0] and len(words) >= window:
-                    gone = covered_words(len(words), Windows(words, window, True).repeated(tuple(known)), window)
-                left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(gone) else words)
+                n = len(words)
+                if state:
+                    gone = covered_words(n, places_of(state), window)
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                left = b" ".join(words)
                 ids.append(doc_id)
-                counts.append(len(words))
-                removed.append(int(gone.sum()))
+                counts.append(n)
+                removed.append(n - len(words))
                 kept.append(sha256(left) if digests else left.decode("utf-8", "surrogatepass"))
             yield {"doc_id": ids, "n_words": counts, "n_removed": removed, "kept": kept}
 
-    joined = _keyed(docs).join(repeated, ["k1", "k2"], "left").select("doc_id", "text", "hashes", "others")
+    joined = _keyed(docs).join(repeated, ["k1", "k2"], "left").select("doc_id", "text", "state")
     out = map_arrow(joined, cut, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("kept", "kept_sha256") if digests else out
 

@@ -68,15 +68,16 @@ def test_substrings_tell_clashing_hashes_apart(rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "hash_words", lambda w, second=False: hash_words(w, second) & ~np.uint64(1) | np.uint64(second))
     monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, n: window_hashes(h, n) >> np.uint64(0 if h[0] & np.uint64(1) else 58))
     texts = [substring_dedup.white_words(t) for _, t, *_ in rows]
-    known, shorter = [([], [])] * len(texts), None
-    for length in substring_dedup.level_lengths(35):
-        whole = length == 35
-        found = [substring_dedup._candidates(w, 35, shorter, length, k, whole) if shorter is None or k[0] else None for w, k in zip(texts, known, strict=True)]
-        pairs = [[] if f is None else list(zip(f[0].tolist(), (f[1] if whole else f[0]).tolist(), strict=True)) for f in found]
-        seen = Counter(p for own in pairs for p in own)
-        known = [([p[0] for p in set(own) if seen[p] > 1], [p[1] for p in set(own) if seen[p] > 1]) for own in pairs]
-        shorter = length
-    gone = [int(substring_dedup.covered_words(len(w), substring_dedup.Windows(w, 35, True).repeated(k), 35).sum()) if k[0] else 0 for w, k in zip(texts, known, strict=True)]
+    known, shorter = [[]] * len(texts), None
+    for length in substring_dedup.level_lengths(35)[:-1]:
+        found = [None if shorter and not k else substring_dedup.judged(w, 35, shorter, length, k) for w, k in zip(texts, known, strict=True)]
+        seen = Counter(x for f in found if f is not None for x in f.tolist())
+        known, shorter = [[] if f is None else [x for x in set(f.tolist()) if seen[x] > 1] for f in found], length
+    found = [substring_dedup.whole_windows(w, 35, substring_dedup._alive(substring_dedup.hash_words(w), 35, shorter, k)) if k else None for w, k in zip(texts, known, strict=True)]
+    seen = Counter(x for f in found if f is not None for x in zip(f[0].tolist(), f[1].tolist(), strict=True))
+    places = [[] if f is None else [p for a, b, p in zip(*(x.tolist() for x in f), strict=True) if seen[a, b] > 1] for f in found]
+    gone = [int(substring_dedup.covered_words(len(w), np.array(p), 35).sum()) if p else 0 for w, p in zip(texts, places, strict=True)]
+    assert len({a for f in found if f is not None for a in f[0].tolist()}) <= 64
     assert gone == [r[2] for r in H.without_repeats(rows)] and any(gone)
 
 
