@@ -49,7 +49,7 @@ def letters_only(title: Column) -> Column:
 
 
 #: Titles of sections that list terms.
-TERM_TITLES = ("keywords", "keywordsandphrases", "indexterms", "index", "glossary", "nomenclature")
+TERM_TITLES = ("keyword", "keywords", "keyterms", "index", "subjectindex", "indexterms")
 
 
 def is_term_title(title: Column) -> Column:
@@ -118,12 +118,16 @@ SECRET_SHAPES = (
 )
 
 
+#: Fixed value: credentials behind the name of their scheme.
+SCHEMES = r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+"
+
+
 def redaction_steps(backref: str = "$") -> list[tuple[str, str]]:
     """Patterns and replacements, in order; without look-around, so that other engines can run them."""
     one = f"{backref}1"
     head = rf"(?i)([\"']?{SECRET_NAMES}[\"']?\s*[:=]\s*)"
     return [
-        (r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+", f"{one} [REDACTED]"),
+        (SCHEMES, f"{one} [REDACTED]"),
         (rf'{head}"[^\r\n"]*"', f"{one}[REDACTED]"),
         (rf"{head}'[^\r\n']*'", f"{one}[REDACTED]"),
         (rf"{head}[^\s,;}}]+", f"{one}[REDACTED]"),
@@ -159,6 +163,7 @@ FAILURES = (
     ("rate_limit", r"(?:^|\b)(?:http(?:/\d(?:\.\d)?)?\s*)?429(?:\b|:)|\brate[_ -]limit(?:ed|ing|[_ -]exceeded)?\b"),
     ("invalid_request", r"\binvalid[_ -]request\b"),
 )
+#: Fixed value: how a wait is named.
 RETRY_AFTER = r"(?i)retry[- ]after\s*[:=]?\s*(\d+(?:\.\d+)?)"
 
 
@@ -213,9 +218,14 @@ def term_count(text: Column, surfaces: Sequence[str]) -> Column:
     return F.regexp_count(text, F.lit(term_pattern(surfaces)))
 
 
+def flexible(needle: str) -> str:
+    """A pattern for the words of a needle, ignoring case, with any white space between them."""
+    return r"\s+".join(literal(w) for w in needle.split())
+
+
 def overlapping_count(text: Column, needle: str) -> Column:
-    """Occurrences of a literal, ignoring case; the next search starts one character after the last start."""
-    return F.regexp_count(text, F.lit(f"(?iU)(?={literal(needle)})"))
+    """Occurrences of a needle, ignoring case; the next search starts one character after the last start."""
+    return F.regexp_count(text, F.lit(f"(?iU)(?={flexible(needle)})"))
 
 
 #: Ports and suffixes.

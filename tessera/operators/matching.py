@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -38,14 +38,18 @@ def joined_titles(titles: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def shingles(rows: DataFrame, size: int, longest: int | None = None) -> DataFrame:
-    """Each row's (all columns but text) runs of ``size`` tokens, with start; of the first ``longest`` tokens if given."""
+    """Each row's (all columns but text) runs of ``size`` tokens, as 128-bit hashes, with start; of the first ``longest`` tokens if given."""
     tokens = F.split(T.fingerprint(F.col("text")), " ")
     tokens = F.slice(tokens, 1, longest) if longest else tokens
     kept = rows.select(*[c for c in rows.columns if c != "text"], tokens.alias("t")).where(F.size("t") >= size)
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.array_join(F.slice("t", i, size), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: _run(F.slice("t", i, size)))
     return kept.select(*[c for c in rows.columns if c != "text"], F.posexplode(runs).alias("start", "shingle"))
 
 
+def _run(tokens: Column) -> Column:
+    return F.struct(F.xxhash64(tokens).alias("a"), F.xxhash64(F.lit(1), tokens).alias("b"))
+
+
 def body_anchors(bodies: DataFrame, pages: DataFrame, size: int = 8, longest: int = 128) -> DataFrame:
     """key, start, page: the first run of tokens of a body that stands on exactly one page."""
     hits = shingles(bodies, size, longest).join(shingles(pages, size).select("shingle", "page"), "shingle")
@@ -53,15 +57,15 @@ def body_anchors(bodies: DataFrame, pages: DataFrame, size: int = 8, longest: in
     return only.groupBy("key").agg(F.min("start").alias("start"), F.min_by("page", "start").alias("page"))
 
 
-def phrase_pages(blocks: DataFrame, pages: DataFrame, size: int = 3) -> DataFrame:
+def phrase_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """key and page of blocks whose fingerprint is part of exactly one page's, by whole tokens.
 
-    Candidate pages hold the block's first run of tokens; the whole phrase is looked for on those only. Page texts
-    stay out of the candidate join.
+    Evidence has two tokens at least, so candidate pages hold the block's first two; the whole phrase is looked for on
+    those only. Texts stay out of the candidate join, and so do pairs that begin no phrase.
     """
     b = blocks.select("key", T.fingerprint(F.col("text")).alias("fp")).where(T.has_page_evidence(F.col("fp")))
-    first = b.select("key", F.array_join(F.slice(F.split("fp", " "), 1, size), " ").alias("shingle")).where(F.size(F.split("fp", " ")) >= size)
-    near = shingles(pages.select("page", "text"), size).select("page", "shingle").join(first, "shingle").select("key", "page").distinct()
+    first = b.select("key", _run(F.slice(F.split("fp", " "), 1, 2)).alias("shingle"))
+    near = shingles(pages.select("page", "text"), 2).select("page", "shingle").join(first, "shingle").select("key", "page").distinct()
     fps = pages.select("page", T.fingerprint(F.col("text")).alias("pf"))
     hits = near.join(b, "key").join(fps, "page").where(F.contains(F.concat(F.lit(" "), "pf", F.lit(" ")), F.concat(F.lit(" "), "fp", F.lit(" "))))
     return hits.groupBy("key").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")

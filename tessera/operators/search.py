@@ -50,8 +50,7 @@ def limited(hits: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
 def occurrence_counts(documents: DataFrame, needles: Sequence[str]) -> DataFrame:
     """doc_id and total: overlapping occurrences of any needle, for documents that have some."""
     total = sum((T.overlapping_count(F.col("text"), n) for n in needles), F.lit(0))
-    near = F.rlike("text", F.lit("(?iU)" + "|".join(T.literal(n) for n in needles)))
-    return documents.where(near).select("doc_id", total.cast("long").alias("total")).where("total > 0")
+    return documents.where(_near(needles)).select("doc_id", total.cast("long").alias("total")).where("total > 0")
 
 
 def search_mode(counts: DataFrame, limit: int, context_limit: int = 20) -> DataFrame:
@@ -61,20 +60,57 @@ def search_mode(counts: DataFrame, limit: int, context_limit: int = 20) -> DataF
     return counts.agg(total.alias("total"), F.count(F.lit(1)).alias("documents")).withColumn("mode", mode)
 
 
-def occurrences(documents: DataFrame, needles: Sequence[str]) -> DataFrame:
-    """doc_id, start, end, terms, line and col of each overlapping occurrence; needles at one place share a row."""
-    found = F.array(*(F.struct(F.lit(n.lower()).alias("term"), _starts(F.col("text"), n.lower()).alias("starts"), F.lit(len(n)).alias("size")) for n in needles))
-    each = documents.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "text", "f.term", "f.size", F.explode("f.starts").alias("start"))
-    each = each.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "term", T.line_of(F.col("text"), F.col("start")).alias("line"), T.column_of(F.col("text"), F.col("start")).alias("col"))
-    return each.groupBy("doc_id", "start", "end", "line", "col").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
+def _near(needles: Sequence[str]) -> Column:
+    return F.rlike("text", F.lit("(?iU)" + "|".join(T.flexible(n) for n in needles)))
 
 
-def _starts(text: Column, needle: str) -> Column:
-    """0-based starts of a literal, ignoring case: a prefix of each is cut where the next one may begin."""
-    low = F.lower(text)
-    parts = F.split(F.regexp_replace(low, f"(?=\\Q{needle}\\E)", "\u0001"), "\u0001", -1)
-    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))))
-    return F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))
+def occurrences(documents: DataFrame, needles: Sequence[str], excluded: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, end, terms, line and col of each overlapping occurrence; needles at one place share a row.
+
+    Offsets count in the text as it is. A text is cut where a needle begins, and only the measures of its pieces leave
+    it; running sums over them give offsets, lines and columns. Occurrences within a range of ``excluded`` (doc_id, a,
+    b; b not included) are left out. Ids are unique.
+    """
+    cut = F.array(*(_pieces(F.col("text"), n) for n in needles))
+    rows = documents.where(_near(needles)).select("doc_id", F.posexplode(cut).alias("n", "pieces")).where(F.size("pieces") > 1)
+    each = rows.select("doc_id", "n", F.posexplode("pieces").alias("i", "p")).select("doc_id", "n", "i", "p.*")
+    w = Window.partitionBy("doc_id", "n").orderBy("i")
+    start = F.sum("size").over(w) - 1  # a line end was put before the text
+    line_start = F.max(F.when(F.col("line_ends") > 0, F.col("start") - F.col("tail"))).over(w)
+    placed = each.withColumn("start", start).select("*", F.sum("line_ends").over(w).alias("line"), (F.col("start") - line_start + 1).alias("col")).where("match is not null")
+    term = F.element_at(F.array(*(F.lit(" ".join(n.split()).lower()) for n in needles)), F.col("n") + 1)
+    hits = placed.select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("match")).cast("int").alias("end"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), term.alias("term"))
+    if excluded is not None:
+        x = excluded.select(F.col("doc_id").alias("x_doc"), "a", "b")
+        hits = hits.join(x, (F.col("doc_id") == F.col("x_doc")) & (F.col("start") >= F.col("a")) & (F.col("end") <= F.col("b")), "left_anti")
+    return hits.groupBy("doc_id", "start", "end", "line", "col").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
+
+
+def _pieces(text: Column, needle: str) -> Column:
+    """The text, with a line end before it, cut where the needle begins: size, line ends, characters after the last of them, and the length of the match behind."""
+    pattern = T.flexible(needle)
+    pieces = F.split(F.concat(F.lit("\n"), text), f"(?iU)(?={pattern})", -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU)(?=({pattern}))"), 1), F.length)
+    measure = lambda p, i: F.struct(
+        F.length(p).alias("size"), (F.length(p) - F.length(F.replace(p, F.lit("\n")))).alias("line_ends"),
+        F.length(F.substring_index(p, "\n", -1)).alias("tail"), F.try_element_at(matches, i + 1).alias("match"),
+    )
+    return F.transform(pieces, measure)
+
+
+def occurrence_search(documents: DataFrame, needles: Sequence[str], limit: int, context_lines: int = 0, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The summary (total, documents, mode) and the occurrences: none if there are more than ``limit``, with context (if any lines are asked for) if they are few."""
+    hits = occurrences(documents, needles, excluded)
+    counts = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    summary = search_mode(counts, limit)
+    mode = summary.first()["mode"]
+    shown = hits.where(F.lit(mode != "refinement_required"))
+    if mode != "with_context" or not context_lines:
+        return summary, shown.withColumn("context", F.lit(""))
+    texts = documents.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    first = F.greatest(F.col("line") - context_lines, F.lit(1))
+    around = F.array_join(F.slice("lines", first, F.col("line") + context_lines - first + 1), "\n")
+    return summary, shown.join(texts, "doc_id").withColumn("context", around).drop("lines")
 
 
 def top_titles(counts: DataFrame, titles: DataFrame, k: int = 50) -> DataFrame:
@@ -114,13 +150,25 @@ def equation_terms(spans: DataFrame, terms: Sequence[str], limit: int) -> DataFr
 
 
 def term_counts(units: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """term, total and first (offset over all units in order, one character between) of terms that occur in units (unit, text)."""
-    w = Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = units.select("unit", "text", F.length("text").alias("size"))
-    placed = lengths.withColumn("offset", F.coalesce(F.sum(F.col("size") + 1).over(w), F.lit(0)))
-    each = placed.select("unit", "offset", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), T.term_count(F.col("text"), [t]).alias("n"), F.regexp_instr("text", F.lit(T.term_pattern([t]))).alias("at")) for t in terms))).alias("x"))
-    hits = each.where("x.n > 0")
-    return hits.groupBy("x.term").agg(F.sum("x.n").cast("long").alias("total"), F.min(F.col("offset") + F.col("x.at") - 1).alias("first"))
+    """term, total and first (offset over all units in order, one character between) of terms that occur in units (unit, text).
+
+    Each unit is counted where it is; a term's first unit is a minimum. Units have different numbers.
+    """
+    found = F.array(*(F.struct(F.lit(t).alias("term"), T.term_count(F.col("text"), [t]).alias("n"), F.regexp_instr("text", F.lit(T.term_pattern([t]))).alias("at")) for t in terms))
+    hits = units.select("unit", F.explode(found).alias("x")).where("x.n > 0").select("unit", "x.*")
+    counts = hits.groupBy("term").agg(F.sum("n").cast("long").alias("total"), F.min(F.struct("unit", "at")).alias("f")).select("term", "total", "f.*")
+    return first_offsets(units, counts).select("term", "total", "first")
+
+
+def first_offsets(units: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``firsts`` (term, unit, at from 1) with first: the offset over all units in order, one character between.
+
+    ``firsts`` has a row for each term asked for, so it is broadcast; the sizes of the units before are summed where
+    the units are, and no unit is put in order.
+    """
+    few = F.broadcast(firsts.select("term", F.col("unit").alias("until")))
+    before = units.select("unit", F.length("text").alias("size")).join(few, F.col("unit") < F.col("until")).groupBy("term").agg(F.sum(F.col("size") + 1).alias("before"))
+    return firsts.join(before, "term", "left").withColumn("first", (F.coalesce("before", F.lit(0)) + F.col("at") - 1).cast("long")).drop("before")
 
 
 def top_terms(counts: DataFrame, approx: int) -> DataFrame:

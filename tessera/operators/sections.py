@@ -17,22 +17,34 @@ def toc(sections: DataFrame) -> DataFrame:
     return sections.drop("text")
 
 
+#: More levels than this are an error: each is a column of a window.
+MOST_LEVELS = 64
+
+
+def _levels(entries: DataFrame) -> list[int]:
+    """The levels there are, ascending; read from the data, so that none is left out."""
+    found = sorted(r.level for r in entries.select("level").where("level is not null").distinct().limit(MOST_LEVELS + 1).collect())
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels")
+    return found or [1]
+
+
 def parents(entries: DataFrame) -> DataFrame:
     """Adds parent: the ordinal of the nearest earlier entry (doc_id, ordinal, level) of a lower level, or null.
 
     Levels are few, so the last ordinal of each level is carried along instead of joining entries with each other.
     """
+    levels = _levels(entries)
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = [F.max(F.when(F.col("level") == k, F.col("ordinal"))).over(w) for k in range(1, 7)]
-    lower = [F.when(F.col("level") > k, v) for k, v in enumerate(lasts, 1)]
-    return entries.withColumn("parent", F.greatest(*lower))
+    lower = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("ordinal"))).over(w)) for k in levels]
+    return entries.withColumn("parent", F.array_max(F.array(*lower)))
 
 
 def ends(entries: DataFrame, last: str) -> DataFrame:
     """Adds end: the ordinal before the next entry of the same or a lower level, else the document's last."""
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("ordinal"))).over(w)) for k in range(1, 7)]
-    return entries.withColumn("end", F.coalesce(F.least(*nexts) - 1, F.col(last)))
+    nexts = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("ordinal"))).over(w)) for k in _levels(entries)]
+    return entries.withColumn("end", F.coalesce(F.array_min(F.array(*nexts)) - 1, F.col(last)))
 
 
 def slices(headings: DataFrame, last: str) -> DataFrame:
@@ -43,15 +55,15 @@ def slices(headings: DataFrame, last: str) -> DataFrame:
 
 def paths(entries: DataFrame) -> DataFrame:
     """Adds path: the ordinals from the outermost enclosing entry to the entry itself."""
+    levels = _levels(entries)
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lasts = {k: F.max(F.when(F.col("level") == k, F.col("ordinal"))).over(w) for k in range(1, 7)}
-    # an entry of level k is open if no entry of a lower level came after it
-    open_ = [
-        F.when((F.col("level") >= k) & F.col(f"_l{k}").isNotNull() & (F.col(f"_l{k}") > F.coalesce(F.greatest(*(F.col(f"_l{j}") for j in range(1, k)), F.lit(-1)), F.lit(-1)) if k > 1 else F.col("_l1").isNotNull()), F.col(f"_l{k}"))
-        for k in range(1, 7)
-    ]
-    carried = entries.select("*", *(v.alias(f"_l{k}") for k, v in lasts.items()))
-    return carried.withColumn("path", F.array_compact(F.array(*open_))).drop(*(f"_l{k}" for k in range(1, 7)))
+    carried = entries.select("*", *(F.max(F.when(F.col("level") == k, F.col("ordinal"))).over(w).alias(f"_l{i}") for i, k in enumerate(levels)))
+    open_, lower = [], F.lit(-1)
+    for i, k in enumerate(levels):  # an entry of a level is open if no entry of a lower one came after it
+        here = F.col(f"_l{i}")
+        open_.append(F.when((F.col("level") >= k) & (here > lower), here))
+        lower = F.greatest(lower, here)
+    return carried.withColumn("path", F.array_compact(F.array(*open_))).drop(*(f"_l{i}" for i in range(len(levels))))
 
 
 def lines(documents: DataFrame) -> DataFrame:

@@ -32,15 +32,34 @@ def balanced(text: str, at: int) -> int:
 
 
 def unwrap_pdfstring(text: str) -> str:
-    r"""``\texorpdfstring{a}{b}`` as a, for balanced arguments."""
-    while (at := text.find("\\texorpdfstring")) >= 0:
-        one = text.find("{", at)
-        end = balanced(text, one) if one >= 0 else -1
-        two = balanced(text, end) if 0 <= end < len(text) and text[end] == "{" else -1
-        if two < 0:
-            break
-        text = text[:at] + text[one + 1 : end - 1] + text[two:]
-    return text
+    r"""``\texorpdfstring{a}{b}`` as a, white space between the arguments or not; a use without two arguments stays.
+
+    A second argument that isn't closed reaches to the end of the text.
+    """
+    name, out, done = "\\texorpdfstring", [], 0
+    while (at := text.find(name, done)) >= 0:
+        out.append(text[done:at])
+        one = skip_white(text, at + len(name))
+        if text[one : one + 1] != "{":
+            done = at + len(name)
+            out.append(name)
+            continue
+        end = balanced(text, one)
+        two = skip_white(text, end) if end > 0 else len(text)
+        if text[two : two + 1] == "{":
+            out.append(text[one + 1 : end - 1])
+            close = balanced(text, two)
+            done = close if close > 0 else len(text)
+        else:
+            done = end if end > 0 else len(text)
+            out.append(text[at:done])
+    return "".join(out) + text[done:]
+
+
+def skip_white(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
 
 
 def plain(text: str) -> str:

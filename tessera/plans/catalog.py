@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import search
 from tessera.plans.registry import query, table
 from tessera.sources import catalog as C
 
@@ -161,9 +162,9 @@ def pf17_block_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
-@query("j2_unmatched", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 200 = 0 AND l_quantity > 45)")
+@query("j2_unmatched", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_tax >= 0.08 AND l_discount >= 0.1)")
 def j2_unmatched(spark, d):
-    return table(spark, d, "supplier").join(table(spark, d, "lineitem").where("l_orderkey % 200 = 0 and l_quantity > 45"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+    return table(spark, d, "supplier").join(table(spark, d, "lineitem").where("l_quantity >= 50 and l_tax >= 0.08 and l_discount >= 0.1"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
 
 
 @query("j17_feedback_keys", "WITH a AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY 1), b AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events WHERE event_id % 30 <> 0 GROUP BY 1) SELECT user_id, coalesce(a.k = b.k, false) AS exact FROM a LEFT JOIN b USING (user_id)")
@@ -173,13 +174,15 @@ def j17_feedback_keys(spark, d):
     return keys(e, "a").join(keys(e.where("event_id % 30 <> 0"), "b"), "user_id", "left").select("user_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("exact"))
 
 
-@query("j21_batch_inputs", "SELECT DISTINCT conv_id, item_id FROM conversations, benchmark WHERE conv_id < 20 AND (conv_id % 3 = 0 OR (conv_id % 3 = 1 AND item_id % 20 = conv_id))")
+@query("j21_batch_inputs", """WITH w AS (SELECT DISTINCT conv_id, unnest([conv_id % 300, (conv_id + 20) % 300, -1]) AS item_id FROM conversations WHERE conv_id % 3 <> 0)
+SELECT conv_id, item_id FROM w SEMI JOIN benchmark USING (item_id) UNION ALL SELECT DISTINCT conv_id, NULL FROM conversations WHERE conv_id % 3 = 0""")
 def j21_batch_inputs(spark, d):
-    loops = table(spark, d, "conversations").where("conv_id < 20").select("conv_id").distinct()
-    ids = F.when(F.col("conv_id") % 3 == 0, F.lit(None).cast("array<long>")).when(F.col("conv_id") % 3 == 1, F.array(F.col("conv_id"), F.col("conv_id") + 20)).otherwise(F.array().cast("array<long>"))
-    # a batch's inputs are few; a loop without a list takes all of them, one with a list those that it names
-    items = F.broadcast(table(spark, d, "benchmark").where("item_id < 200").select("item_id"))
-    return loops.withColumn("ids", ids).join(items, F.col("ids").isNull() | F.array_contains("ids", F.col("item_id")) | (F.col("ids").isNotNull() & F.array_contains("ids", F.col("item_id") % 20))).select("conv_id", "item_id")
+    """Inputs of the batch that a loop names; one without a list takes all of them, which one row says."""
+    loops = table(spark, d, "conversations").select("conv_id").distinct()
+    ids = F.array(F.col("conv_id") % 300, (F.col("conv_id") + 20) % 300, F.lit(-1).cast("long"))
+    named = loops.where("conv_id % 3 <> 0").select("conv_id", F.explode(F.array_distinct(ids)).alias("item_id"))
+    found = named.join(table(spark, d, "benchmark").select("item_id"), "item_id", "left_semi").select("conv_id", "item_id")
+    return found.unionByName(loops.where("conv_id % 3 = 0").select("conv_id", F.lit(None).cast("long").alias("item_id")))
 
 
 @query("a3_keyword_groups", "SELECT lower(p_type) AS term, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS refs FROM part GROUP BY 1")
@@ -223,9 +226,10 @@ def a19_least_memory(spark, d):
 
 @query("w10_first_occurrence", """WITH u AS (SELECT doc_id AS unit, strpos(text, 'License') AS p, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs FROM documents WHERE text IS NOT NULL) SELECT min(offs + p - 1)::BIGINT AS first FROM u WHERE p > 0""")
 def w10_first_occurrence(spark, d):
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("n"), F.instr("text", "License").alias("p"))
-    return sizes.withColumn("offs", F.coalesce(F.sum(F.col("n") + 1).over(w), F.lit(0))).where("p > 0").agg(F.min(F.col("offs") + F.col("p") - 1).alias("first"))
+    units = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("unit"), "text")
+    hits = units.where(F.contains("text", F.lit("License"))).select(F.lit("License").alias("term"), F.struct("unit", F.instr("text", "License").alias("at")).alias("f"))
+    firsts = hits.groupBy("term").agg(F.min("f").alias("f")).select("term", "f.*")
+    return search.first_offsets(units, firsts).agg(F.min("first").alias("first"))
 
 
 @query("l5_caps", "SELECT user_id, array_to_string(list(event_id ORDER BY event_id)[1 : 10], ',') AS first_ten FROM events GROUP BY user_id")
@@ -253,14 +257,14 @@ def u2_union_all(spark, d):
     return c.unionByName(table(spark, d, "supplier").select(F.lit("supplier").alias("origin"), F.col("s_name").alias("name")))
 
 
-@query("u3_difference", "SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+@query("u3_difference", "SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def u3_difference(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k")).exceptAll(table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).exceptAll(table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey"))
 
 
-@query("u4_intersection", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40 INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 40")
+@query("u4_intersection", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def u4_intersection(spark, d):
-    return table(spark, d, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").where("s_suppkey < 40").select("s_nationkey"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
 @query("u5_ordered_dedupe", "SELECT user_id, string_agg(event_type, ',' ORDER BY p) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS p FROM events GROUP BY ALL) GROUP BY user_id")

@@ -22,12 +22,12 @@ def pages(spark, d):
 
 
 def titles(spark, d):
-    """The first three lines that aren't blank, with a number in front, as titles to be found again."""
-    rows = lines(spark, d).where("line <= 3 and trim(text) <> ''")
+    """The lines that aren't blank, with a number in front, as titles to be found again."""
+    rows = lines(spark, d).where("trim(text) <> ''")
     return rows.select("doc_id", F.col("line").alias("key"), F.concat(F.col("line").cast("string"), F.lit(". "), "text").alias("title"))
 
 
-TITLES = "t AS (SELECT doc_id, line AS key, line || '. ' || text AS title FROM l WHERE line <= 3 AND trim(text) <> '')"
+TITLES = "t AS (SELECT doc_id, line AS key, line || '. ' || text AS title FROM l WHERE trim(text) <> '')"
 STRIP = r"regexp_replace(title, '^\s*(?:\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.)\s+', '')"
 KEYS = f"k AS (SELECT DISTINCT doc_id, key, unnest([{_fp('title')}, {_fp(STRIP)}]) AS fp FROM t)"
 
@@ -47,14 +47,14 @@ def j4_exact_titles(spark, d):
 
 JOINED = """j AS (SELECT doc_id, page, fp || ' ' || lead(fp, 1) OVER w AS f2, fp || ' ' || lead(fp, 1) OVER w || ' ' || lead(fp, 2) OVER w AS f3 FROM p WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
 u AS (SELECT doc_id, page, f2 AS fp FROM j WHERE f2 IS NOT NULL UNION ALL SELECT doc_id, page, f3 FROM j WHERE f3 IS NOT NULL)"""
-TWO = "t AS (SELECT doc_id, line AS key, text || ' ' || n AS title FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM l) WHERE line <= 6 AND trim(text) <> '' AND trim(n) <> '')"
+TWO = "t AS (SELECT doc_id, line AS key, text || ' ' || n AS title FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM l) WHERE trim(text) <> '' AND trim(n) <> '')"
 
 
 def two_line_titles(spark, d):
     from pyspark.sql import Window
 
     rows = lines(spark, d).withColumn("n", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line")))
-    rows = rows.where("line <= 6 and trim(text) <> '' and trim(n) <> ''")
+    rows = rows.where("trim(text) <> '' and trim(n) <> ''")
     return rows.select("doc_id", F.col("line").alias("key"), F.concat_ws(" ", "text", "n").alias("title"))
 
 
@@ -77,31 +77,31 @@ def j6_body_anchor(spark, d):
 
 
 @query("j7_best_evidence", f"""WITH {PAGES}, {TITLES}, {KEYS}, {JOINED},
-e AS (SELECT DISTINCT doc_id * 10 + key AS key, page, 'exact' AS tier FROM k JOIN p USING (doc_id, fp) WHERE fp <> '' UNION ALL SELECT DISTINCT doc_id * 10 + key, page, 'joined' FROM k JOIN u USING (doc_id, fp) WHERE fp <> ''),
+e AS (SELECT DISTINCT doc_id || '-' || key AS key, page, 'exact' AS tier FROM k JOIN p USING (doc_id, fp) WHERE fp <> '' UNION ALL SELECT DISTINCT doc_id || '-' || key, page, 'joined' FROM k JOIN u USING (doc_id, fp) WHERE fp <> ''),
 r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY key, tier) = 1 THEN CASE tier WHEN 'exact' THEN 1 ELSE 2 END ELSE CASE tier WHEN 'exact' THEN 4 ELSE 5 END END AS rank FROM e)
 SELECT key, page, tier FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, page) AS r FROM r) WHERE r = 1""")
 def j7_best_evidence(spark, d):
     t, p = titles(spark, d), pages(spark, d)
-    key = (F.col("doc_id") * 10 + F.col("key")).alias("key")
+    key = F.concat_ws("-", "doc_id", "key").alias("key")
     exact = M.exact_titles(t, p).select(key, "page", F.lit("exact").alias("tier"))
     return M.best_evidence(exact.unionByName(M.joined_titles(t, p).select(key, "page", F.lit("joined").alias("tier"))))
 
 
-@query("j8_formula_pages", f"""WITH {LINES}, m AS (SELECT doc_id, line AS key, regexp_replace(text, '[^\\p{{L}}\\p{{N}}_=+*/^-]', '', 'g')[1 : 12] AS f FROM l WHERE line <= 4),
+@query("j8_formula_pages", f"""WITH {LINES}, m AS (SELECT doc_id, line AS key, regexp_replace(text, '[^\\p{{L}}\\p{{N}}_=+*/^-]', '', 'g') AS f FROM l),
 g AS (SELECT doc_id, (line - 1) // 8 + 1 AS page, string_agg(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_=+*/^-]', '', 'g'), '' ORDER BY line) AS pf FROM l GROUP BY ALL)
 SELECT m.doc_id, key, page FROM m JOIN g ON m.doc_id = g.doc_id AND contains(pf, f) WHERE length(f) >= 3""")
 def j8_formula_pages(spark, d):
     from tessera.functions import text as T
 
     rows = lines(spark, d).select("doc_id", "line", T.math_fingerprint(F.col("text")).alias("f"))
-    spans = rows.where("line <= 4").select("doc_id", F.col("line").alias("key"), F.substring("f", 1, 12).alias("f")).where("length(f) >= 3")
+    spans = rows.select("doc_id", F.col("line").alias("key"), "f").where("length(f) >= 3")
     g = rows.groupBy("doc_id", F.expr("(line - 1) div 8 + 1").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "f"))), lambda x: x["f"]), "").alias("pf"))
     return spans.join(g, "doc_id").where(F.contains("pf", F.col("f"))).select("doc_id", "key", "page")
 
 
 PH = f"""
 b AS (SELECT item_id AS key, {_fp('text')} AS fp FROM benchmark), d AS (SELECT doc_id AS page, {_fp('text')} AS pf FROM documents WHERE text IS NOT NULL),
-h AS (SELECT key, page FROM b JOIN d ON contains(' ' || pf || ' ', ' ' || fp || ' ') WHERE len(string_split(fp, ' ')) >= 3 AND length(replace(fp, ' ', '')) >= 8)"""
+h AS (SELECT key, page FROM b JOIN d ON contains(' ' || pf || ' ', ' ' || fp || ' ') WHERE len(string_split(fp, ' ')) >= 2 AND length(replace(fp, ' ', '')) >= 8)"""
 
 
 @query("j9_phrase_pages", f"WITH {PH} SELECT key, min(page) AS page FROM h GROUP BY key HAVING count(*) = 1")
@@ -111,13 +111,13 @@ def j9_phrase_pages(spark, d):
     return M.phrase_pages(blocks, docs)
 
 
-@query("j14_running_headers", """WITH i AS (SELECT l_suppkey AS doc_id, l_returnflag || l_linestatus AS key, l_orderkey AS page, l_quantity * 20 AS y FROM lineitem WHERE l_linenumber = 1),
+@query("j14_running_headers", """WITH i AS (SELECT l_suppkey AS doc_id, l_returnflag || l_linestatus AS key, l_orderkey AS page, l_quantity * 20 AS y FROM lineitem),
 n AS (SELECT *, CASE WHEN y - coalesce(lag(y) OVER (PARTITION BY doc_id, key ORDER BY y, page), -1e9) > 10 THEN 1 ELSE 0 END AS new FROM i),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, key ORDER BY y, page ROWS UNBOUNDED PRECEDING) AS run FROM n),
 p AS (SELECT doc_id, key, run, count(DISTINCT page) AS pages FROM r GROUP BY ALL HAVING count(DISTINCT page) >= 2)
 SELECT doc_id, key, max(pages) AS pages FROM p GROUP BY doc_id, key""")
 def j14_running_headers(spark, d):
-    i = table(spark, d, "lineitem").where("l_linenumber = 1")
+    i = table(spark, d, "lineitem")
     return M.running_headers(i.select(F.col("l_suppkey").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("key"), F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 20).alias("y")))
 
 
@@ -155,18 +155,18 @@ def j18_verdicts(spark, d):
     return M.verdicts(table(spark, d, "documents").select(F.col("doc_id").alias("key")), reviews)
 
 
-@query("j19_bijection", """SELECT label, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right FROM (SELECT c_nationkey AS label, count(*) AS n FROM customer WHERE c_custkey <= 30 GROUP BY 1) l
-FULL JOIN (SELECT s_nationkey AS label, count(*) AS n FROM supplier WHERE s_suppkey <= 20 GROUP BY 1) r USING (label) WHERE coalesce(l.n, 0) <> 1 OR coalesce(r.n, 0) <> 1""")
+@query("j19_bijection", """SELECT label, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right FROM (SELECT c_nationkey AS label, count(*) AS n FROM customer GROUP BY 1) l
+FULL JOIN (SELECT s_nationkey AS label, count(*) AS n FROM supplier GROUP BY 1) r USING (label) WHERE coalesce(l.n, 0) <> 1 OR coalesce(r.n, 0) <> 1""")
 def j19_bijection(spark, d):
-    return M.bijection(table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_nationkey").alias("label")), table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("label")))
+    return M.bijection(table(spark, d, "customer").select(F.col("c_nationkey").alias("label")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("label")))
 
 
 @query("j20_unique_ranges", """WITH s AS (SELECT p_partkey AS section, p_size AS a, p_size + p_partkey % 97 AS b FROM part), o AS (SELECT a, b, min(section) AS section FROM s GROUP BY a, b HAVING count(*) = 1)
-SELECT l_orderkey * 10 + l_linenumber AS target, section FROM lineitem JOIN o ON a = l_quantity::INT AND b = l_quantity::INT + l_suppkey % 97 WHERE l_linenumber = 1""")
+SELECT l_orderkey * 10 + l_linenumber AS target, section FROM lineitem JOIN o ON a = l_quantity::INT AND b = l_quantity::INT + l_suppkey % 97""")
 def j20_unique_ranges(spark, d):
     s = table(spark, d, "part").select(F.col("p_partkey").alias("section"), F.col("p_size").cast("int").alias("start"), (F.col("p_size") + F.col("p_partkey") % 97).cast("int").alias("end"))
     q = F.col("l_quantity").cast("int")
-    t = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("target"), q.alias("start"), (q + F.col("l_suppkey") % 97).cast("int").alias("end"))
+    t = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("target"), q.alias("start"), (q + F.col("l_suppkey") % 97).cast("int").alias("end"))
     return M.unique_ranges(t, s)
 
 
@@ -193,10 +193,10 @@ def j24_note_anchors(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", s.alias("s"), ((s >= 0) & (F.substring("text", s + 1, F.lit(3)) == "the")).alias("anchored"))
 
 
-@query("j25_grid_overlaps", """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS r0, (l_quantity % 4)::INT AS c0, 1 + (l_partkey % 2)::INT AS h, 1 + (l_suppkey % 2)::INT AS w FROM lineitem WHERE l_orderkey <= 2000),
+@query("j25_grid_overlaps", """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS r0, (l_quantity % 4)::INT AS c0, 1 + (l_partkey % 2)::INT AS h, 1 + (l_suppkey % 2)::INT AS w FROM lineitem),
 p AS (SELECT doc_id, r, unnest(range(c0, c0 + w)) AS c FROM (SELECT doc_id, unnest(range(r0, r0 + h)) AS r, c0, w FROM c)) SELECT doc_id, r, c, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1""")
 def j25_grid_overlaps(spark, d):
-    r = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    r = table(spark, d, "lineitem")
     one = lambda c: (1 + F.col(c) % 2).cast("int")
     return M.grid_overlaps(r.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row"), (F.col("l_quantity") % 4).cast("int").alias("col"), one("l_partkey").alias("rows"), one("l_suppkey").alias("cols")))
 

@@ -88,6 +88,18 @@ def q4_occurrences(spark, d):
     return S.occurrences(table(spark, d, "documents").where("text is not null"), WANT)
 
 
+@query(
+    "q5_document_occurrences",
+    r"""WITH o AS (SELECT doc_id, text, term, unnest(list_filter(range(1, length(text) - length(term) + 2), lambda i: lower(text)[i : i + length(term) - 1] = term)) - 1 AS start
+  FROM documents, (VALUES ('th'), ('the')) t(term) WHERE doc_id = 1)
+SELECT doc_id, start, start + length(term) AS "end", string_agg(term, ',' ORDER BY term) AS terms, len(string_split(text[1 : start], chr(10))) AS line, length(string_split(text[1 : start], chr(10))[-1]) + 1 AS col
+FROM o GROUP BY doc_id, start, term, text""",
+)
+def q5_document_occurrences(spark, d):
+    """One document, without a limit."""
+    return S.occurrences(table(spark, d, "documents").where("text is not null and doc_id = 1"), ["the", "th"])
+
+
 @query(
     "q6_overlapping_count",
     """WITH c AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents WHERE text IS NOT NULL)

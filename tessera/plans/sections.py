@@ -25,11 +25,11 @@ def entries(spark, d):
 
 
 def sections(spark, d):
-    rows = lines(spark, d).where("trim(text) <> '' and line <= 12")
-    return rows.select("doc_id", F.col("line").alias("ordinal"), F.concat(F.lit("sec-"), F.col("line").cast("string")).alias("section_id"), F.substring("text", 1, 40).alias("title"), "text")
+    rows = lines(spark, d).where("trim(text) <> ''")
+    return rows.select("doc_id", F.col("line").alias("ordinal"), F.concat(F.lit("sec-"), F.col("line").cast("string")).alias("section_id"), F.col("text").alias("title"), "text")
 
 
-SEC = LINES + ", s AS (SELECT doc_id, line AS ordinal, 'sec-' || line AS section_id, text[1 : 40] AS title, text FROM l WHERE trim(text) <> '' AND line <= 12)"
+SEC = LINES + ", s AS (SELECT doc_id, line AS ordinal, 'sec-' || line AS section_id, text AS title, text FROM l WHERE trim(text) <> '')"
 
 
 @query("pf1_toc", f"WITH {SEC} SELECT doc_id, ordinal, section_id, title FROM s")
@@ -160,16 +160,16 @@ def w7_running_page(spark, d):
     return S.marked(rows, "doc_id", ["line"], "m", "page").select("doc_id", "line", "page")
 
 
-RANGES = """r AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS a FROM orders WHERE o_orderkey % 3 = 0),
-q AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS c FROM orders WHERE o_orderkey % 3 = 1)"""
+RANGES = """r AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS a FROM orders),
+q AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS c FROM orders)"""
 
 
-@query("j12_interval_overlap", f"WITH {RANGES} SELECT r.k, r.id AS lid, q.id AS rid FROM r JOIN q ON r.k = q.k AND a + 45 >= c AND a <= c + 60")
+@query("j12_interval_overlap", f"WITH {RANGES} SELECT r.k, r.id AS lid, q.id AS rid FROM r JOIN q ON r.k = q.k AND r.id < q.id AND a + 45 >= c AND a <= c + 60")
 def j12_interval_overlap(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("t"))
-    left = o.where("o_orderkey % 3 = 0").select("k", F.col("o_orderkey").alias("lid"), F.col("t").alias("a"), (F.col("t") + 45).alias("b"))
-    right = o.where("o_orderkey % 3 = 1").select("k", F.col("o_orderkey").alias("rid"), F.col("t").alias("c"), (F.col("t") + 60).alias("d"))
-    return S.overlapping(left, right, "k", 60).select("k", "lid", "rid")
+    left = o.select("k", F.col("o_orderkey").alias("lid"), F.col("t").alias("a"), (F.col("t") + 45).alias("b"))
+    right = o.select("k", F.col("o_orderkey").alias("rid"), F.col("t").alias("c"), (F.col("t") + 60).alias("d"))
+    return S.overlapping(left, right, "k", 60).where("lid < rid").select("k", "lid", "rid")
 
 
 @query(
@@ -203,9 +203,13 @@ def mp6_page_sections(spark, d):
 # -- scalar functions and predicates over lines and documents
 
 
-@query("pf8_term_titles", "SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') IN ('keywords','keywordsandphrases','indexterms','index','glossary','nomenclature') AS term_title FROM benchmark")
+@query("pf8_term_titles", """WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Key words' WHEN 1 THEN 'KEYWORD' WHEN 2 THEN 'Subject Index 2' WHEN 3 THEN 'Key-terms:' WHEN 4 THEN 'Glossary'
+  WHEN 5 THEN 'Index Terms' WHEN 6 THEN p_name ELSE 'Index' END AS title FROM part) SELECT p_partkey, p_partkey % 8 IN (0, 1, 2, 3, 5, 7) AS term_title FROM t""")
 def pf8_term_titles(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.is_term_title(F.col("text")).alias("term_title"))
+    titles = F.array(*(F.lit(t) for t in ("Key words", "KEYWORD", "Subject Index 2", "Key-terms:", "Glossary", "Index Terms", "", "Index")))
+    k = F.col("p_partkey") % 8
+    title = F.when(k == 6, F.col("p_name")).otherwise(F.element_at(titles, (k + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", T.is_term_title(title).alias("term_title"))
 
 
 @query("pf9_equation_lines", rf"""WITH {LINES} SELECT doc_id, line, regexp_matches(text, '[=<>+*/^≤≥≈∑∫-]') AND (regexp_matches(text, '\(\d+(?:\.\d+)*\)\s*$') OR len(string_split_regex(trim(text), '\s+')) <= 24) AS equation FROM l""")
@@ -339,9 +343,9 @@ def st18_preview(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query("st21_prompts", "SELECT conv_id, string_agg(role || ': ' || text[1 : 60], chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+@query("st21_prompts", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def st21_prompts(spark, d):
-    part = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 60)).alias("t"))
+    part = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("t"))
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     return g.select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("prompt"))
 
