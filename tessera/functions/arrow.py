@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType  # a type, not a name: workers import this module without a session
 
+from tessera.functions.text import redaction_steps
+
 
 @pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
@@ -84,3 +86,32 @@ def normalize_tex_text(value: str) -> str:
 @pandas_udf(StringType())
 def normalize_tex(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else normalize_tex_text(x))
+
+
+#: Names of fields that hold secrets, in lower case and without other signs.
+SECRET_FIELDS = frozenset("apikey authorization cookie credential password passwd refreshtoken secret setcookie token xapikey accesstoken".split())
+
+
+def redacted(value):
+    """A JSON value with secret fields and credentials in its texts replaced, at any depth."""
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if re.sub("[^a-z0-9]", "", k.lower()) in SECRET_FIELDS else redacted(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted(v) for v in value]
+    if isinstance(value, str):
+        for pattern, put in redaction_steps("\\"):
+            value = re.sub(pattern, put, value)
+    return value
+
+
+@pandas_udf(StringType())
+def redact_json(s: pd.Series) -> pd.Series:
+    """Canonical JSON of the redacted value; null if the text is no JSON."""
+
+    def one(x):
+        try:
+            return canonical_json(redacted(json.loads(x)))
+        except (TypeError, ValueError):
+            return None
+
+    return s.map(one)
