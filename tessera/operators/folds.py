@@ -88,6 +88,12 @@ def admitted(resources: DataFrame, each: int, total: int, count: int) -> DataFra
     return resources.groupBy("bundle").applyInPandas(fold, "bundle long, ordinal long, code string")
 
 
+def _match_keys(span: dict) -> list[tuple]:
+    """What a span may be matched by, best first."""
+    label = [("label", span["label"])] if span["label"] else []
+    return [*label, ("kind", span["kind"], span["tex"]), ("tex", span["tex"])]
+
+
 def reconcile(primary: DataFrame, validator: DataFrame) -> DataFrame:
     """Formula spans (doc_id, ordinal, kind, tex, label, context) of two renditions, matched greedily in the primary's order.
 
@@ -98,21 +104,30 @@ def reconcile(primary: DataFrame, validator: DataFrame) -> DataFrame:
 
     def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         free = right.sort_values("ordinal", kind="stable").to_dict("records")
+        used = [False] * len(free)
+        places: dict[tuple, list[int]] = {}  # of spans by what they may be matched by, with and without the context; last first
+        for i in range(len(free) - 1, -1, -1):
+            for k in _match_keys(free[i]):
+                places.setdefault(k, []).append(i)
+                places.setdefault((*k, free[i]["context"]), []).append(i)
+
+        def first(k: tuple) -> int | None:
+            at = places.get(k, [])
+            while at and used[at[-1]]:
+                at.pop()
+            return at[-1] if at else None
+
         out = []
         for p in left.sort_values("ordinal", kind="stable").to_dict("records"):
-            rules = (
-                lambda v, p=p: p["label"] and v["label"] == p["label"],
-                lambda v, p=p: v["kind"] == p["kind"] and v["tex"] == p["tex"],
-                lambda v, p=p: v["tex"] == p["tex"],
-            )
-            found = next((c for rule in rules if (c := [v for v in free if rule(v)])), [])
-            if not found:
+            found = next((k for k in _match_keys(p) if first(k) is not None), None)
+            if found is None:
                 out.append((key[0], p["ordinal"], "missing", None))
                 continue
-            best = next((v for v in found if v["context"] == p["context"]), found[0])
-            free.remove(best)
-            out.append((key[0], p["ordinal"], "verified" if best["tex"] == p["tex"] else "mismatch", best["ordinal"]))
-        out += [(key[0], None, "unmatched", v["ordinal"]) for v in free]
+            same = first((*found, p["context"]))
+            best = first(found) if same is None else same
+            used[best] = True
+            out.append((key[0], p["ordinal"], "verified" if free[best]["tex"] == p["tex"] else "mismatch", free[best]["ordinal"]))
+        out += [(key[0], None, "unmatched", v["ordinal"]) for v, u in zip(free, used, strict=True) if not u]
         return pd.DataFrame(out, columns=["doc_id", "ordinal", "status", "validator"]).astype({"ordinal": "Int64", "validator": "Int64"})
 
     schema = "doc_id long, ordinal long, status string, validator long"

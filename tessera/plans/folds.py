@@ -71,7 +71,8 @@ def st8_normalized_tex(spark, d):
     return table(spark, d, "documents").select("doc_id", normalize_tex("text").alias("tex"))
 
 
-@query("sx3_reduced_ratio")
+@query("sx3_reduced_ratio", """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS w, (l_partkey % 60)::BIGINT AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN (w // gcd(w, h)) || ':' || (h // gcd(w, h)) END AS ratio FROM r""")
 def sx3_reduced_ratio(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reduced_ratio(F.col("l_quantity").cast("long"), (F.col("l_partkey") % 60).cast("long")).alias("ratio"))
 
