@@ -38,21 +38,32 @@ def joined_titles(titles: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def shingles(rows: DataFrame, size: int, longest: int | None = None) -> DataFrame:
-    """Each row's (all columns but text) runs of ``size`` tokens, as 128-bit hashes, with start; of the first ``longest`` tokens if given."""
-    tokens = F.split(T.fingerprint(F.col("text")), " ")
+    """Each row's (all columns but text) runs of ``size`` tokens, as 64-bit hashes, with start; of the first ``longest`` tokens if given."""
+    tokens = _hashed(F.split(T.fingerprint(F.col("text")), " "))
     tokens = F.slice(tokens, 1, longest) if longest else tokens
     kept = rows.select(*[c for c in rows.columns if c != "text"], tokens.alias("t")).where(F.size("t") >= size)
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: _run(F.slice("t", i, size)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.xxhash64(F.slice("t", i, size)))
     return kept.select(*[c for c in rows.columns if c != "text"], F.posexplode(runs).alias("start", "shingle"))
 
 
-def _run(tokens: Column) -> Column:
-    return F.struct(F.xxhash64(tokens).alias("a"), F.xxhash64(F.lit(1), tokens).alias("b"))
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
 
 
 def body_anchors(bodies: DataFrame, pages: DataFrame, size: int = 8, longest: int = 128) -> DataFrame:
-    """key, start, page: the first run of tokens of a body that stands on exactly one page."""
-    hits = shingles(bodies, size, longest).join(shingles(pages, size).select("shingle", "page"), "shingle")
+    """key, start, page: the first run of tokens of a body that stands on exactly one page.
+
+    Hashes find the candidates, the texts of which decide.
+    """
+    near = shingles(bodies, size, longest).join(shingles(pages, size).select("shingle", "page"), "shingle").select("key", "start", "page").distinct()
+    said = bodies.select("key", F.split(T.fingerprint(F.col("text")), " ").alias("t"))
+    fps = pages.select("page", T.fingerprint(F.col("text")).alias("pf"))
+    run = F.array_join(F.slice("t", F.col("start") + 1, size), " ")
+    hits = near.join(said, "key").select("key", "start", "page", run.alias("run")).join(fps, "page").where(F.contains(_padded(F.col("pf")), _padded(F.col("run"))))
     only = hits.groupBy("key", "start").agg(F.min("page").alias("page"), F.max("page").alias("other")).where("page = other")
     return only.groupBy("key").agg(F.min("start").alias("start"), F.min_by("page", "start").alias("page"))
 
@@ -64,10 +75,10 @@ def phrase_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     those only. Texts stay out of the candidate join, and so do pairs that begin no phrase.
     """
     b = blocks.select("key", T.fingerprint(F.col("text")).alias("fp")).where(T.has_page_evidence(F.col("fp")))
-    first = b.select("key", _run(F.slice(F.split("fp", " "), 1, 2)).alias("shingle"))
+    first = b.select("key", F.xxhash64(_hashed(F.slice(F.split("fp", " "), 1, 2))).alias("shingle"))
     near = shingles(pages.select("page", "text"), 2).select("page", "shingle").join(first, "shingle").select("key", "page").distinct()
     fps = pages.select("page", T.fingerprint(F.col("text")).alias("pf"))
-    hits = near.join(b, "key").join(fps, "page").where(F.contains(F.concat(F.lit(" "), "pf", F.lit(" ")), F.concat(F.lit(" "), "fp", F.lit(" "))))
+    hits = near.join(b, "key").join(fps, "page").where(F.contains(_padded(F.col("pf")), _padded(F.col("fp"))))
     return hits.groupBy("key").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
