@@ -109,3 +109,40 @@ def verified_sources(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sources (doc_id, format, text, digest) whose text has the digest recorded, and doc_id with error for the others."""
     same = F.sha2(F.col("text").cast("binary"), 256).eqNullSafe(F.col("digest"))
     return sources.where(same).drop("digest"), sources.where(~same).select("doc_id", F.lit("digest_mismatch").alias("error"))
+
+
+#: Kinds of targets.
+TARGET_KINDS = ("section", "paragraph", "equation", "table", "figure", "list", "code")
+
+
+def target_errors(targets: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, target and rule of broken targets of links.
+
+    ``targets``: doc_id, target (number), alias, selector, kind, block_id, first, last (not included), section_id
+    (empty but for sections) and panels (ids); ``blocks``: doc_id, block_id, ordinal, kind; ``sections``: doc_id,
+    section_id, first, last.
+    """
+    n = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    own = blocks.select("doc_id", "block_id", F.col("ordinal").alias("b_ordinal"), F.col("kind").alias("b_kind"))
+    part = sections.select("doc_id", "section_id", F.col("first").alias("s_first"), F.col("last").alias("s_last"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "alias").orderBy("target")) > 1
+    t = targets.withColumn("again", again).join(n, "doc_id", "left").join(own, ["doc_id", "block_id"], "left").join(part, ["doc_id", "section_id"], "left")
+    section = F.col("kind") == "section"
+    rules = {
+        "alias": (F.col("alias") == "") | F.col("again"),
+        "selector": F.col("selector") != F.concat(F.lit("#"), "alias"),
+        "kind": ~F.col("kind").isin(*TARGET_KINDS),
+        "block": F.col("b_ordinal").isNull(),
+        "range": ~((F.col("first") >= 0) & (F.col("first") < F.col("last")) & (F.col("last") <= F.coalesce("n_blocks", F.lit(0)))),
+        "start": F.col("b_ordinal") != F.col("first"),
+        "section": section & (F.col("s_first").isNull() | (F.col("s_first") != F.col("first")) | (F.col("s_last") != F.col("last")) | (F.col("b_kind") != "heading")),
+        "section_id": ~section & (F.col("section_id") != ""),
+        "one_block": ~section & (F.col("last") != F.col("first") + 1),
+        "kind_of_block": ~section & (F.col("kind") != F.col("b_kind")),
+        "panels": (F.col("kind") != "figure") & (F.size("panels") > 0),
+    }
+    broken = t.select("doc_id", "target", F.explode(F.array_compact(F.array(*(F.when(w, F.lit(r)) for r, w in rules.items())))).alias("rule"))
+    panels = targets.select("doc_id", "target", F.posexplode("panels").alias("place", "id"))
+    twice = panels.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("target", "place"))).where("r > 1").select("doc_id", "target", F.lit("panel_again").alias("rule")).distinct()
+    taken = panels.join(targets.select("doc_id", F.col("alias").alias("id")).distinct(), ["doc_id", "id"], "left_semi").select("doc_id", "target", F.lit("panel_alias").alias("rule")).distinct()
+    return broken.unionByName(twice).unionByName(taken)

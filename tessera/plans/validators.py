@@ -54,6 +54,35 @@ def v5_list_paths(spark, d):
     return V.list_path_errors(blocks, path)
 
 
+TARGETS = """x AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS o, * FROM lineitem),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+t AS (SELECT doc_id, o AS target, 't' || (l_partkey % 40) AS alias, l_suppkey % 10 = 0 AS odd, CASE l_partkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'paragraph' ELSE 'table' END AS b_kind, o + 1 + (l_quantity >= 50)::INT AS last,
+  CASE WHEN l_linenumber % 5 = 0 THEN 'note' ELSE CASE l_partkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'paragraph' ELSE 'table' END END AS kind, 't' || (l_suppkey % 40) AS panel, l_tax >= 0.08 AS paneled FROM x)"""
+
+
+@query("v6_target_errors", f"""WITH {TARGETS}
+SELECT doc_id, target, 'alias' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, alias ORDER BY target) AS r FROM t) WHERE r > 1
+UNION ALL SELECT doc_id, target, 'selector' FROM t WHERE odd UNION ALL SELECT doc_id, target, 'kind' FROM t WHERE kind = 'note' UNION ALL SELECT doc_id, target, 'kind_of_block' FROM t WHERE kind <> b_kind
+UNION ALL SELECT doc_id, target, 'range' FROM t JOIN n USING (doc_id) WHERE last > n UNION ALL SELECT doc_id, target, 'one_block' FROM t WHERE last <> target + 1
+UNION ALL SELECT doc_id, target, 'panels' FROM t WHERE kind <> 'figure' AND paneled
+UNION ALL SELECT doc_id, target, 'panel_again' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, panel ORDER BY target) AS r FROM t WHERE paneled) WHERE r > 1
+UNION ALL SELECT doc_id, target, 'panel_alias' FROM t WHERE paneled AND EXISTS (SELECT 1 FROM t y WHERE y.doc_id = t.doc_id AND y.alias = t.panel)""")
+def v6_target_errors(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    x = table(spark, d, "lineitem").withColumn("o", F.row_number().over(w) - 1)
+    of = lambda c, k: F.concat(F.lit("t"), (F.col(c) % k).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("figure", "paragraph", "table"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    block = F.col("o").cast("string").alias("block_id")
+    blocks = x.select(F.col("l_orderkey").alias("doc_id"), block, F.col("o").alias("ordinal"), kind.alias("kind"))
+    targets = x.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("o").alias("target"), of("l_partkey", 40).alias("alias"), F.concat(F.when(F.col("l_suppkey") % 10 == 0, "").otherwise("#"), of("l_partkey", 40)).alias("selector"),
+        F.when(F.col("l_linenumber") % 5 == 0, "note").otherwise(kind).alias("kind"), block, F.col("o").alias("first"), (F.col("o") + 1 + (F.col("l_quantity") >= 50).cast("int")).alias("last"), F.lit("").alias("section_id"),
+        F.when(F.col("l_tax") >= 0.08, F.array(of("l_suppkey", 40))).otherwise(F.array().cast("array<string>")).alias("panels"),
+    )
+    none = spark.createDataFrame([], "doc_id long, section_id string, first int, last int")
+    return V.target_errors(targets, blocks, none)
+
+
 @query("v9_closed_contracts", """SELECT conv_id * 1000 + turn AS id, '$.extra' AS path, 'false' AS rule FROM conversations WHERE conv_id % 5 = 0
 UNION ALL SELECT conv_id * 1000 + turn, '$.role', 'enum' FROM conversations WHERE role = 'system' UNION ALL SELECT conv_id * 1000 + turn, '$.turn', 'required' FROM conversations WHERE turn % 4 = 3""")
 def v9_closed_contracts(spark, d):

@@ -49,6 +49,20 @@ def test_blocks_outside_their_section(spark):
     assert got == {("section_of_block", "4")}
 
 
+def test_targets(spark):
+    blocks = spark.createDataFrame([(1, "b0", 0, "heading"), (1, "b1", 1, "figure"), (1, "b2", 2, "paragraph")], "doc_id long, block_id string, ordinal int, kind string")
+    sections = spark.createDataFrame([(1, "s0", 0, 3)], "doc_id long, section_id string, first int, last int")
+    rows = [
+        (1, 0, "top", "#top", "section", "b0", 0, 3, "s0", []), (1, 1, "fig", "#fig", "figure", "b1", 1, 2, "", ["p1", "p2"]), (1, 2, "fig", "#x", "image", "b9", 1, 1, "s0", ["p1"]),
+        (1, 3, "", "#", "section", "b2", 1, 4, "s9", []), (1, 4, "c", "#c", "paragraph", "b2", 2, 3, "", ["top"]),
+    ]
+    targets = spark.createDataFrame(rows, "doc_id long, target int, alias string, selector string, kind string, block_id string, first int, last int, section_id string, panels array<string>")
+    got: dict[int, set] = {}
+    for r in validators.target_errors(targets, blocks, sections).collect():
+        got.setdefault(r.target, set()).add(r.rule)
+    assert got == {2: {"alias", "selector", "kind", "block", "range", "section_id", "one_block", "panels", "panel_again"}, 3: {"alias", "range", "start", "section"}, 4: {"panels", "panel_alias"}}
+
+
 def test_records(spark):
     df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{"), (3, None), (4, '{"b": 1}')], "id long, value string")
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer"}}}
