@@ -15,7 +15,7 @@ from tessera.functions.arrow import redact_json
 from tessera.operators import blocks as B
 from tessera.operators import keywords
 from tessera.operators import validators as V
-from tessera.parse import frames, html, markdown, tex
+from tessera.parse import frames, html, markdown, rewrite, tex
 from tessera.plans.registry import query, table
 from tessera.sources import containers
 
@@ -234,3 +234,17 @@ def pf16_keyword_units(spark, d):
     fields = p.select("doc_id", F.to_json(F.array(F.struct(F.lit("Keywords").alias("label"), F.array(F.col("p_name"), F.lit("other one")).alias("entries")))).alias("fields"))
     pages = blocks.where("ordinal < 3").select("doc_id", "ordinal", (F.col("ordinal") + 1).alias("page"))
     return keywords.text_units(blocks, fields, pages)
+
+
+@query("sc23_rewritten_targets", """SELECT page_id AS doc_id, CASE WHEN page_id % 10 <> 0 THEN '<!-- <img src=no> --><p>' || url || '</p><IMG alt="x>y" srcset=''s&amp;t 2x'' src="l/' || page_id || '.png"><object data=b></object>' END AS text,
+  CASE WHEN page_id % 10 <> 0 THEN 1 END AS rewrites, CASE WHEN page_id % 10 = 0 THEN 'source_mismatch' END AS error FROM pages""")
+def sc23_rewritten_targets(spark, d):
+    own = F.col("page_id").cast("string")
+    text = F.concat(F.lit("<!-- <img src=no> --><p>"), F.col("url"), F.lit("</p><IMG alt=\"x>y\" srcset='s&amp;t 2x' src=\"a/"), own, F.lit('.png"><object data=b></object>'))
+    record = lambda n, element, attribute, target, path: F.struct(F.lit(n).alias("ordinal"), F.lit(element).alias("element"), F.lit(attribute).alias("attribute"), target.alias("target"), path.alias("path"))
+    wrong = F.when(F.col("page_id") % 10 == 0, F.lit("other")).otherwise(F.lit("b"))
+    records = F.array(
+        record(0, "img", "src", F.concat(F.lit("a/"), own, F.lit(".png")), F.concat(F.lit("l/"), own, F.lit(".png"))),
+        record(1, "img", "srcset", F.lit("s&t 2x"), F.lit("s&t 2x")), record(2, "object", "data", wrong, F.lit(None).cast("string")),
+    )
+    return rewrite.materialized(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"), records.alias("records")))

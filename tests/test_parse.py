@@ -107,3 +107,17 @@ Two % c
     ]
     with pytest.raises(spans.Unclosed):
         rich.tex_blocks("\\begin{align}x")
+
+
+def test_targets_are_rewritten_by_place():
+    from tessera.parse.rewrite import Mismatch, embedded, rewritten
+
+    page = "<script>'<img src=\"s\">'</script><img SRC=a.png><source srcset='x 1x, y 2x' src=\"m\"><p src=no><object data=\"d&amp;e\">"
+    assert [(e, a, t) for e, a, t, *_ in embedded(page)] == [("img", "src", "a.png"), ("source", "src", "m"), ("source", "srcset", "x 1x, y 2x"), ("object", "data", "d&e")]
+    record = lambda n, e, a, t, p: {"ordinal": n, "element": e, "attribute": a, "target": t, "path": p}
+    text, n = rewritten(page, [record(0, "img", "src", "a.png", 'l"1'), record(3, "object", "data", "d&e", "l&2"), record(1, "source", "src", "m", None)])
+    assert n == 2 and text == page.replace("SRC=a.png", 'SRC="l&quot;1"').replace('"d&amp;e"', '"l&amp;2"')
+    assert rewritten("<p>", []) == ("<p>", 0)
+    for bad in ([record(0, "img", "src", "b.png", "x")], [record(9, "img", "src", "a.png", "x")], [record(k, "img", "src", "a.png", "x") for k in range(5)]):
+        with pytest.raises(Mismatch):
+            rewritten(page, bad)
