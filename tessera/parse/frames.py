@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.parse import html, markdown, rich, spans, tex
+from tessera.parse import html, markdown, meaning, rich, spans, tex
 
 PARSERS = {"html": html, "markdown": markdown, "tex": tex}
 
@@ -87,3 +87,27 @@ def list_items(pages: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     return _rows(pages, "doc_id long, table int, row int, col int, rows int, cols int, header boolean, text string, error string", lambda k, t: [(i, *c) for i, g in enumerate(html.tables(t)) for c in g])
+
+
+def heading_roles(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, title string, level int, role string, problem string, error string", lambda k, t: meaning.heading_roles(t))
+
+
+def equations(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, tex string, label string, error string", lambda k, t: meaning.equations(t))
+
+
+def captions(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, kind string, text string, placement string, alignment string, problem string, error string", lambda k, t: meaning.captions(t))
+
+
+def panels(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, figure int, panel int, layout string, row int, col int, target string, width int, height int, ratio string, problem string, error string", lambda k, t: meaning.panels(t))
+
+
+def loose_media(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, element string, target string, alt string, error string", lambda k, t: meaning.loose_media(t))
+
+
+def drawings(pages: DataFrame) -> DataFrame:
+    return _rows(pages, "doc_id long, ordinal int, start int, end int, svg string, error string", lambda k, t: meaning.drawings(t))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from tessera.plans import catalog, folds, matching, parsed, registry, runs, search, sections, validators  # noqa: F401 - importing a module registers its queries
+    from tessera.plans import catalog, folds, layout, matching, parsed, registry, runs, search, sections, validators  # noqa: F401 - importing a module registers its queries
 
     return dict(registry.QUERIES)
 
