@@ -160,14 +160,6 @@ def box_errors(items: DataFrame) -> DataFrame:
     return items.select("id", error.alias("error")).where("error is not null")
 
 
-def coverage(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """page and status by size, expected and found entries: empty, unavailable, partial or parsed."""
-    found = entries.groupBy("page").agg(F.count(F.lit(1)).alias("found"))
-    both = pages.join(found, "page", "left").na.fill(0, ["found"])
-    status = F.when(F.col("size") == 0, "empty").when(F.col("found") == 0, "unavailable").when(F.col("found") < F.col("expected"), "partial").otherwise("parsed")
-    return both.select("page", status.alias("status"))
-
-
 def label_anomalies(equations: DataFrame) -> DataFrame:
     """doc_id, duplicates, regressions and gaps of integer labels in order, for documents with two equations or more."""
     w = Window.partitionBy("doc_id").orderBy("ordinal")

@@ -136,7 +136,7 @@ def page_texts(blocks: DataFrame, originals: DataFrame, items: DataFrame) -> Dat
     flow = flow.withColumn("owner_kind", F.last(F.when(owner, F.col("kind")), ignorenulls=True).over(order))
     wrong = wrong.unionByName(errors(flow.where("gone and (full or owner_kind is null or owner_kind <> kind)"), "no_owner"))
     whole = Window.partitionBy("doc_id", "chain")
-    parts = flow.withColumn("merged", (F.count(F.lit(1)).over(whole) > 1) | F.bool_or("marked").over(whole)).where("merged")
+    parts = flow.withColumn("merged", (F.count(F.lit(1)).over(whole) > 1) | F.bool_or("marked").over(whole)).where("merged and owner_kind is not null")
 
     key = ["doc_id", "page", "kind", "box"]
     known = originals.groupBy(*key).agg(F.collect_list(F.struct("index", "lines")).alias("known"))

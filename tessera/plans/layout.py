@@ -88,7 +88,7 @@ def mp17_drawings(spark, d):
 #: An order is a page of its customer: line 1 is the title, the others are images; the header says the day.
 LABELS = """h AS (SELECT o_custkey AS doc_id, o_orderkey AS page, 'Day ' || strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders),
 n AS (SELECT doc_id, text FROM h GROUP BY ALL HAVING count(*) = 1),
-i AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o, l_quantity::INT AS q, l_partkey % 100 AS x, l_suppkey % 70 AS y FROM lineitem),
+i AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o, l_quantity::INT AS q, l_partkey % 100 AS x, l_partkey * 3 % 70 AS y FROM lineitem),
 c AS (SELECT page, min(o) AS before FROM (SELECT * FROM i WHERE o > 1 AND x < 60 AND x + q > 10 AND 60 + y BETWEEN 90 AND 140 AND x + q <= 130) GROUP BY page HAVING count(*) = 1),
 t AS (SELECT DISTINCT page FROM i WHERE o = 1)"""
 
@@ -99,7 +99,7 @@ def g2_title_labels(spark, d):
     o = table(spark, d, "orders")
     headers = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), F.lit(2000.0).alias("width"), F.lit(1000.0).alias("height"), num(20, 20, 120, 90).alias("box"), F.concat(F.lit(" Day "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    x, y, q = F.col("l_partkey") % 100, F.col("l_suppkey") % 70 + 60, F.round("l_quantity").cast("int")
+    x, y, q = F.col("l_partkey") % 100, F.col("l_partkey") * 3 % 70 + 60, F.round("l_quantity").cast("int")
     lines = table(spark, d, "lineitem").withColumn("ordinal", F.row_number().over(w)).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     title = F.col("ordinal") == 1
     rows = lines.select(

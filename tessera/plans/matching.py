@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import matching as M
+from tessera.operators import ocr as O
 from tessera.plans.registry import query, table
 from tessera.plans.sections import FP, LINES, lines
 
@@ -131,11 +132,17 @@ def g1_running_headers(spark, d):
     return M.running_headers(i.select(F.col("source").alias("doc_id"), F.col("lang").alias("key"), F.col("doc_id").alias("page"), (F.col("n_chars") % 900).cast("double").alias("y")))
 
 
-@query("g4_page_coverage", """SELECT p_partkey AS page, CASE WHEN p_size = 0 THEN 'empty' WHEN coalesce(n, 0) = 0 THEN 'unavailable' WHEN n < 30 THEN 'partial' ELSE 'parsed' END AS status
-FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) AS n FROM lineitem GROUP BY 1) USING (p_partkey)""")
+@query("g4_page_coverage", """WITH e AS (SELECT l_partkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'excluded' WHEN l_quantity >= 50 THEN 'unavailable' ELSE 'included' END AS s FROM lineitem),
+f AS (SELECT doc_id, count(*) FILTER (s <> 'excluded') AS n, bool_or(s = 'included') AS seen, bool_or(s = 'unavailable') AS lost FROM e GROUP BY doc_id),
+p AS (SELECT p_partkey AS doc_id, CASE WHEN p_size % 10 <> 0 THEN p_size END AS size, p_size % 40 AS expected, coalesce(n, 0) AS n, coalesce(seen, false) AS seen, coalesce(lost, false) AS lost FROM part LEFT JOIN f ON doc_id = p_partkey)
+SELECT doc_id, 1 AS page, CASE WHEN size IS NULL OR n < expected OR lost THEN CASE WHEN seen THEN 'partial' ELSE 'unavailable' END WHEN seen THEN 'parsed' ELSE 'empty' END AS status FROM p""")
 def g4_page_coverage(spark, d):
-    pages_ = table(spark, d, "part").select(F.col("p_partkey").alias("page"), F.col("p_size").alias("size"), F.lit(30).alias("expected"))
-    return M.coverage(pages_, table(spark, d, "lineitem").select(F.col("l_partkey").alias("page")))
+    size = F.col("p_size")
+    pages_ = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.when(size % 10 != 0, size).alias("size"), (size % 40).alias("expected"), F.lit("").alias("status"))
+    status = F.when(F.col("l_returnflag") == "R", "excluded").when(F.col("l_quantity") >= 50, "unavailable").otherwise("included")
+    ids = F.when(status == "included", F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
+    entries = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.lit(1).alias("page"), status.alias("status"), ids.alias("source_ids"))
+    return O.page_status(pages_, entries).drop("stated")
 
 
 @query("g5_box_errors", """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, [l_quantity, l_discount * 1000, l_extendedprice / 50, l_tax * 10000] AS box FROM lineitem),

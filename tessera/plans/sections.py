@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import matching as M
+from tessera.operators import ocr as O
 from tessera.operators import sections as S
 from tessera.plans.registry import query, table
 
@@ -230,12 +230,13 @@ def pf12_page_evidence(spark, d):
     return lines(spark, d).select("doc_id", "line", T.has_page_evidence(T.fingerprint(F.col("text"))).alias("evidence"))
 
 
-@query("pf13_page_coverage", """WITH p AS (SELECT doc_id AS page, length(text) AS size, 3 AS expected FROM documents WHERE text IS NOT NULL),
-f AS (SELECT doc_id AS page, count(*) AS found FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) > 200 GROUP BY doc_id)
-SELECT page, CASE WHEN size = 0 THEN 'empty' WHEN coalesce(found, 0) = 0 THEN 'unavailable' WHEN found < expected THEN 'partial' ELSE 'parsed' END AS status FROM p LEFT JOIN f USING (page)""")
+@query("pf13_page_coverage", """WITH f AS (SELECT doc_id AS page, count(*) AS found FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) > 200 GROUP BY doc_id)
+SELECT doc_id AS page, CASE WHEN text IS NOT NULL AND found >= 3 THEN 'parsed' WHEN found > 0 THEN 'partial' ELSE 'unavailable' END AS status FROM documents LEFT JOIN f ON page = doc_id""")
 def pf13_page_coverage(spark, d):
-    pages = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), F.length("text").alias("size"), F.lit(3).alias("expected"))
-    return M.coverage(pages, lines(spark, d).where(F.length("text") > 200).select(F.col("doc_id").alias("page")))
+    page = [F.lit(0).alias("doc_id"), F.col("doc_id").alias("page")]
+    pages = table(spark, d, "documents").select(*page, F.length("text").alias("size"), F.lit(3).alias("expected"), F.lit("").alias("status"))
+    entries = lines(spark, d).where(F.length("text") > 200).select(*page, F.lit("included").alias("status"), F.array(F.lit("n")).alias("source_ids"))
+    return O.page_status(pages, entries).select("page", "status")
 
 
 @query("st1_normalized", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE text IS NOT NULL")
