@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import finish, validators
 from tessera.operators import ocr as O
 from tessera.parse import frames
 from tessera.parse import ocr as items
@@ -229,3 +230,45 @@ def v8_view_errors(spark, d):
     both = F.array(cell(0, F.when(part % 8 == 0, 2).otherwise(1), 1), cell(1, 1, F.when(supplier % 9 == 0, 4).otherwise(3)))
     cells = x.select(*key, F.explode(both).alias("c")).select("doc_id", "block_id", "c.*")
     return O.view_errors(blocks, views, marks, cells)
+
+
+#: Turns as blocks: every third is a heading, every second has an id, of which some are the same.
+FINISHED = """b AS (SELECT conv_id AS doc_id, turn AS o, 't' || turn AS t, CASE WHEN turn % 3 = 1 THEN 1 + (conv_id + turn // 3) % 3 END AS level, CASE WHEN turn % 2 = 0 THEN '' WHEN conv_id % 4 = 0 THEN 'same' ELSE 'id' || turn END AS sid FROM conversations),
+n AS (SELECT doc_id, max(o) + 1 AS n FROM b GROUP BY 1),
+h AS (SELECT doc_id, o, level, t AS title, 'sec-' || left(sha256('{"level":' || level || ',"ordinal":' || o || ',"source":"s' || doc_id || '","title":"' || t || '"}'), 20) AS id FROM b WHERE level IS NOT NULL
+  UNION ALL SELECT doc_id, 0, 1, 'Document', 'sec-' || left(sha256('{"role":"synthetic-document-section","source":"s' || doc_id || '"}'), 20) FROM n),
+e AS (SELECT h.*, least(n, coalesce((SELECT min(x.o) FROM h x WHERE x.doc_id = h.doc_id AND x.o > h.o AND x.level <= h.level), n)) AS stop FROM h JOIN n USING (doc_id)),
+k AS (SELECT b.doc_id, b.o, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS kind, sid,
+  'block-' || left(sha256('{"kind":"' || CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END || '","ordinal":' || o || ',"payload":"' || t || '","source":"s' || doc_id || '","source_id":"' || sid || '"}'), 24) AS block_id FROM b)"""
+
+
+def _blocks(spark, d):
+    i, t = F.col("conv_id"), F.col("turn")
+    level = F.when(t % 3 == 1, (i + F.floor(t / 3)) % 3 + 1).cast("int")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    source_id = F.when(t % 2 == 0, "").when(i % 4 == 0, "same").otherwise(name("id", t))
+    return table(spark, d, "conversations").select(i.alias("doc_id"), name("s", i).alias("source"), t.alias("ordinal"), F.when(level.isNull(), "paragraph").otherwise("heading").alias("kind"), level.alias("level"), name("t", t).alias("text"), name("t", t).alias("payload"), source_id.alias("source_id"))
+
+
+@query("mp18_sections", f"""WITH {FINISHED} SELECT doc_id, id AS section_id, title, level, o AS first, stop AS last, (SELECT string_agg(a.id, '/' ORDER BY a.o) FROM e a WHERE a.doc_id = e.doc_id AND a.o <= e.o AND a.stop > e.o) AS path FROM e""")
+def mp18_sections(spark, d):
+    return finish.section_tree(_blocks(spark, d)).withColumn("path", F.array_join("path", "/"))
+
+
+@query("mp18_blocks", f"""WITH {FINISHED} SELECT k.doc_id, k.o AS ordinal, kind, block_id, sid AS source_id, string_agg(e.id, '/' ORDER BY e.o) AS path FROM k JOIN e ON e.doc_id = k.doc_id AND e.o <= k.o AND e.stop > k.o GROUP BY ALL""")
+def mp18_blocks(spark, d):
+    b = _blocks(spark, d)
+    return finish.with_identity(b, finish.section_tree(b)).withColumn("path", F.array_join("path", "/"))
+
+
+@query("mp18_targets", f"""WITH {FINISHED}, u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sid) AS c FROM k WHERE sid <> '')
+SELECT u.doc_id, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.o) - 1 AS target, sid AS alias, '#' || sid AS selector, CASE kind WHEN 'heading' THEN 'section' ELSE kind END AS kind, block_id, u.o AS first,
+  CASE kind WHEN 'heading' THEN stop ELSE u.o + 1 END AS last, CASE kind WHEN 'heading' THEN id ELSE '' END AS section_id FROM u LEFT JOIN e ON e.doc_id = u.doc_id AND e.o = u.o WHERE c = 1""")
+def mp18_targets(spark, d):
+    """Targets of the documents whose targets are sound; all are, as they come from the tree."""
+    b = _blocks(spark, d)
+    tree = finish.section_tree(b)
+    whole = finish.with_identity(b, tree)
+    targets = finish.target_manifest(whole, tree)
+    errors = validators.target_errors(targets, whole.select("doc_id", "block_id", "ordinal", "kind"), tree.select("doc_id", "section_id", "first", "last"))
+    return finish.admitted(targets, errors)[0].drop("panels")

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tessera.operators import finish
 from tessera.operators import ocr as O
 from tessera.parse import meaning
 from tessera.parse import ocr as items
@@ -170,3 +171,19 @@ def test_notes(spark):
     notes = [(1, 0, "n", "", "1", "t", "b", 0, 1, 2), (1, 1, "m", "k", "x", "t", "b", 0, 0, 1), (1, 3, "o", "", "y", "", "b", 0, 3, 5), (1, 4, "p", "", "y", "t", "c", 0, 0, 1)]
     got = {(r.ordinal, r.rule) for r in O.note_errors(spark.createDataFrame(notes, schema), targets).collect()}
     assert got == {(1, "source_id"), (1, "order"), (3, "ordinal"), (3, "body"), (3, "anchor"), (4, "ordinal"), (4, "part")}
+
+
+def test_finished_documents(spark):
+    schema = "doc_id long, source string, ordinal int, kind string, level int, text string, payload string, source_id string"
+    rows = [(1, "s", 0, "paragraph", None, "p", "p", ""), (1, "s", 1, "heading", 2, "a", "a", "x"), (1, "s", 2, "heading", 4, "b", "b", "y"), (1, "s", 3, "table", None, "t", "t", "y"), (1, "s", 4, "heading", 1, "c", "c", ""), (2, "s", 0, "heading", 3, "d", "d", "z")]
+    blocks = spark.createDataFrame(rows, schema)
+    tree = finish.section_tree(blocks)
+    got = {(r.doc_id, r.title): (r.first, r.last, len(r.path), r.path[-1] == r.section_id) for r in tree.collect()}
+    assert got == {(1, "Document"): (0, 4, 1, True), (1, "a"): (1, 4, 2, True), (1, "b"): (2, 4, 3, True), (1, "c"): (4, 5, 1, True), (2, "d"): (0, 1, 1, True)}
+    whole = finish.with_identity(blocks, tree)
+    assert [len(r.path) for r in whole.orderBy("doc_id", "ordinal").collect()] == [1, 2, 3, 3, 1, 1]
+    targets = finish.target_manifest(whole, tree)
+    assert {(r.doc_id, r.alias, r.kind, r.first, r.last) for r in targets.collect()} == {(1, "x", "section", 1, 4), (2, "z", "section", 0, 1)}
+    kept, lost = finish.admitted(targets, spark.createDataFrame([(1, "alias"), (1, "range")], "doc_id long, rule string"))
+    assert [r.doc_id for r in kept.collect()] == [2] and [tuple(r) for r in lost.collect()] == [(1, 2)]
+    assert finish.section_tree(blocks.limit(0)).count() == 0
