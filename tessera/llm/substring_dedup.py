@@ -5,9 +5,9 @@ both places, the same shorter window of lowest hash. So each passage is judged
 at a short length through that one window: only if it is repeated anywhere is
 the passage extended and judged again at twice the length, and so on until the
 full length is reached or no candidate survives. Each level counts hashes with
-map-side aggregation and finds the documents that hold a repeated one by a join
-that deals the rows of a hot hash over many tasks, so that a passage in a third
-of all documents is neither gathered in one task nor paired with itself.
+map-side aggregation; a hash that occurs once brings its document along and is
+taken from that document's candidates. So a passage in a third of all documents
+is one row a task, neither gathered in one task nor paired with itself.
 
 ``repeat_lengths`` has no full length: it doubles until no window survives.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.common import hash_words, hot_keys, map_arrow, row_keys, rows_of, sha256, spread_join, table, white_words, window_hashes
+from tessera.llm.common import hash_words, map_arrow, row_keys, rows_of, sha256, table, white_words, window_hashes
 
 WINDOW = 35
 #: No level is shorter than this many words: shorter windows recur by chance.
@@ -124,22 +124,35 @@ BITS = 63
 def _repeated(emitted: DataFrame, on: list[str], value: str) -> DataFrame:
     """(k1, k2, state): of each text, the values of the entries whose hash ``on`` occurs twice or more in all texts.
 
-    ``emitted``, a written table, has an array of each of the columns. Hashes come as a set, places as the words of a bitmap.
+    ``emitted``, a written table, has an array of each of the columns. Hashes come as a set, places as the words of a
+    bitmap. A hash that occurs once brings its row and value along in the count, so that nothing is joined with the
+    hashes: each text loses what it alone has, and what all texts share is merged before it moves.
     """
     names = list(dict.fromkeys([*on, value]))
     flat = emitted.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *(f"x.{n}" for n in names))
-    often = scratch.materialize(flat.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    total = emitted.agg(F.sum(F.size(on[0]))).first()[0] or 0
-    kept = spread_join(flat, often.select(*on), on, hot_keys(often, on, "n", total), ["row"])
-    if value in on:
-        found = kept.groupBy("row").agg(F.collect_set(value).alias("state"))
-    else:
-        word = F.floor(F.col(value) / BITS).cast("int").alias("word")
-        # both groupings find their rows where the repartition has put them
-        words = kept.repartition("row").groupBy("row", word).agg(F.bit_or(F.expr(f"shiftleft(1L, {value} % {BITS})")).alias("bits"))
-        found = words.groupBy("row").agg(F.collect_list(F.struct("word", "bits")).alias("state"))
+    only = [F.min("row").alias("row"), *([] if value in on else [F.min(value).alias(value)])]
+    alone = flat.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), *only).where("n = 1").select("row", value)
+    lost = scratch.materialize(alone.groupBy("row").agg(F.collect_list(value).alias("lost")), "alone")
+    both = emitted.select("row", "k1", "k2", F.col(value).alias("all")).join(lost, "row", "left")
+    left = both.select("k1", "k2", F.array_except("all", F.coalesce("lost", F.array())).alias("state")).where(F.size("state") > 0)
+    if value not in on:
+        left = map_arrow(left, _bitmaps, "k1 long, k2 long, state array<struct<word: int, bits: long>>")
     # rows alike in id and text have the same state
-    return emitted.select("row", "k1", "k2").join(found, "row").groupBy("k1", "k2").agg(F.first("state").alias("state"))
+    return left.groupBy("k1", "k2").agg(F.first("state").alias("state"))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        out: dict[str, list] = {"k1": [], "k2": [], "state": []}
+        for k1, k2, places in rows_of(batch, "k1", "k2", "state"):
+            at = np.asarray(places, np.int64)
+            word, of = np.unique(at // BITS, return_inverse=True)
+            bits = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(bits, of, np.int64(1) << (at % BITS))
+            out["k1"].append(k1)
+            out["k2"].append(k2)
+            out["state"].append([{"word": w, "bits": v} for w, v in zip(word.tolist(), bits.tolist(), strict=True)])
+        yield out
 
 
 def places_of(state: list[dict]) -> np.ndarray:
