@@ -91,15 +91,13 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 def _may_link(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes that lack no more shingles of the fragment elsewhere than a link may lack in all.
 
-    Counted by half a digest, as a clash there only lets more through.
+    A shingle that occurs once brings its set along in the count, so the sets' shingles are joined with nothing. Shingles
+    are counted by half a hash, as a clash there only lets more through.
     """
-    flat = sketches.select("d1", F.explode("fragment").alias("token"))
-    often = scratch.materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
-    total = sketches.agg(F.sum(F.size("fragment"))).first()[0] or 0
-    kept = spread_join(flat, often.select("token"), ["token"], hot_keys(often, ["token"], "c", total), ["d1"])
-    shared = kept.groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
-    lacking = F.col("copies") * F.col("here") - F.coalesce("shared", F.lit(0))
-    may = classes.join(shared, "d1", "left").where(lacking <= F.col("copies") * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    flat = sketches.select("d1", "d2", F.explode("fragment").alias("token"))
+    alone = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("d1").alias("d1"), F.min("d2").alias("d2")).where("c = 1")
+    lacking = alone.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("lacking"))
+    may = classes.join(lacking, ["d1", "d2"], "left").na.fill(0, ["lacking"]).where(F.col("lacking") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100))
     return may.select("cid", "rep.k1", "rep.k2")
 
 
