@@ -240,7 +240,7 @@ def labelled_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         sketches = scratch.materialize(_sketches(rows, size), "sketches")
         grouped = sketches.where("n > 0").groupBy("d1", "d2").agg(
             F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"),
-            F.first(F.size("fragment")).alias("here"), F.count(F.lit(1)).alias("copies"),
+            F.count(F.lit(1)).alias("copies"),
         )
         classes = scratch.materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
         able = scratch.materialize(_may_link(sketches, classes), "able")
