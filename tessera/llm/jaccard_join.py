@@ -57,6 +57,12 @@ GROUP = 256
 SHARE = 0.4
 #: Bits of a shingle's hash that the first filter counts; a clash there only lets more through.
 FILTER_BITS = 48
+#: Shingles that a task of the first filter gathers before it deals them out; those met more than once meanwhile are one.
+GATHER = 1 << 20
+#: The first filter counts in ranges of shingles: RANGES[0] at least, then as many as leave GATHER to each, up to RANGES[1].
+RANGES = (1 << 10, 1 << 14)
+#: Rows, one after another by number, whose shingles that occur once are added up together.
+BLOCK = 4096
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -88,16 +94,114 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, sketch, "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, fragment array<long>")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers: the least, then what each exceeds it by, byte by byte without the bytes that are 0 in all."""
+    if not len(x):
+        return b""
+    least = x.min()
+    rest = x - least
+    width = max(1, (int(rest.max()).bit_length() + 7) // 8)
+    return least.astype("<u8").tobytes() + bytes([width]) + rest.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(data[8], -1)
+    rest = np.zeros((planes.shape[1], 8), np.uint8)
+    rest[:, : data[8]] = planes.T
+    return rest.view("<u8").ravel() + np.frombuffer(data, "<u8", 1)
+
+
+def _pack_ascending(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Flags of the first of equal entries; ``x`` is sorted."""
+    flags = np.ones(len(x), bool)
+    flags[1:] = x[1:] != x[:-1]
+    return flags
+
+
+def _spans(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal entries; ``x`` is sorted."""
+    at = np.flatnonzero(_starts(x))
+    return zip(x[at].tolist(), at.tolist(), np.append(at, len(x))[1:].tolist(), strict=True)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], ranges: int, gather: int) -> Iterator[dict]:
+    """Ranges of shingles, of about ``gather`` at a time: those met once then, with their rows, and those met more often."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        column = batch.column("fragment")
+        token = column.flatten().to_numpy().view(np.uint64)
+        held.append((token, np.repeat(batch.column("row").to_numpy().view(np.uint64), column.value_lengths().to_numpy())))
+        size += len(token)
+        if size >= gather:
+            yield _ranged(held, ranges)
+            held, size = [], 0
+    if size:
+        yield _ranged(held, ranges)
+
+
+def _ranged(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> dict:
+    token, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(token)
+    token, owner = token[order], owner[order]
+    first = _starts(token)
+    once = first & np.append(first[1:], True)
+    token, owner, once = token[first], owner[first], once[first]
+    out: dict[str, list] = {"range": [], "once": [], "owners": [], "more": []}
+    for r, a, b in _spans(token * np.uint64(ranges) >> np.uint64(FILTER_BITS)):
+        of, one = token[a:b], once[a:b]
+        for c, v in zip(out, (r, _pack_ascending(of[one]), _pack(owner[a:b][one]), _pack_ascending(of[~one])), strict=True):
+            out[c].append(v)
+    return out
+
+
+def _alone(dealt: pa.Table, block: int) -> pa.Table:
+    """For each block of rows, the place of the row of each of its shingles that occurs once in all."""
+    read = lambda c, of: np.concatenate([of(x) for x in dealt[c].to_pylist()])
+    token, owner, more = read("once", _unpack_ascending), read("owners", _unpack), read("more", _unpack_ascending)
+    order = np.argsort(token)
+    token = token[order]
+    first = _starts(token)
+    once = first & np.append(first[1:], True)[: len(token)] & ~np.isin(token, more)
+    rows = np.sort(owner[order][once])
+    blocks, places = rows // np.uint64(block), rows % np.uint64(block)
+    out = [(v, _pack_ascending(places[a:b])) for v, a, b in _spans(blocks)]
+    return pa.table({"block": pa.array([v for v, _ in out], pa.int64()), "places": pa.array([p for _, p in out], pa.binary())})
+
+
+def _lacking(alone: pa.Table, block: int) -> pa.Table:
+    """The rows of a block with the number of their shingles that occur once."""
+    counts = np.zeros(block, np.int64)
+    for p in alone["places"].to_pylist():
+        counts += np.bincount(_unpack_ascending(p).astype(np.int64), minlength=block)
+    at = np.flatnonzero(counts)
+    return pa.table({"row": pa.array(alone["block"][0].as_py() * block + at, pa.int64()), "lacking": pa.array(counts[at], pa.int64())})
+
+
 def _may_link(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes that lack no more shingles of the fragment elsewhere than a link may lack in all.
 
-    A shingle that occurs once brings its set along in the count, so the sets' shingles are joined with nothing. Shingles
-    are counted by half a hash, as a clash there only lets more through.
+    A shingle that occurs once brings its row along in the count, so the sets' shingles are joined with nothing. What is
+    dealt out is packed: ranges of shingles with their rows, then blocks of rows; so a shingle takes a few bytes on disk,
+    however many partitions there are. Shingles are counted by part of a hash, as a clash there only lets more through.
     """
-    flat = sketches.select("d1", "d2", F.explode("fragment").alias("token"))
-    alone = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("d1").alias("d1"), F.min("d2").alias("d2")).where("c = 1")
-    lacking = alone.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("lacking"))
-    may = classes.join(lacking, ["d1", "d2"], "left").na.fill(0, ["lacking"]).where(F.col("lacking") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100))
+    share = int((sketches.agg(F.sum("n")).first()[0] or 0) * SHARE)
+    ranges, gather, block = min(max(RANGES[0], share // GATHER), RANGES[1]), GATHER, BLOCK
+    dealt = map_arrow(sketches.select("row", "fragment"), lambda batches: _dealt(batches, ranges, gather), "range int, once binary, owners binary, more binary")
+    alone = dealt.groupBy("range").applyInArrow(lambda t: _alone(t, block), "block long, places binary")
+    lacking = alone.groupBy("block").applyInArrow(lambda t: _lacking(t, block), "row long, lacking long")
+    # a class of several rows has no shingle that occurs once
+    may = classes.join(lacking, "row", "left").na.fill(0, ["lacking"]).where(F.col("lacking") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100))
     return may.select("cid", "rep.k1", "rep.k2")
 
 
@@ -237,14 +341,14 @@ def labelled_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``jaccard_components`` with the row's 128-bit key (k1, k2), and label, which tells components apart whatever their ids; null without shingles."""
     rows = docs.select("doc_id", "text", *row_keys("k1", "k2"))
     with scratch.owner() as made:
-        sketches = scratch.materialize(_sketches(rows, size), "sketches")
+        sketches = scratch.materialize(_sketches(rows, size).withColumn("row", F.monotonically_increasing_id()), "sketches")  # fixed once written
         grouped = sketches.where("n > 0").groupBy("d1", "d2").agg(
             F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"),
-            F.count(F.lit(1)).alias("copies"),
+            F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"),
         )
         classes = scratch.materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")  # fixed once written
         able = scratch.materialize(_may_link(sketches, classes), "able")
-        sizes = scratch.materialize(sketches.drop("fragment"), "sizes")
+        sizes = scratch.materialize(sketches.drop("fragment", "row"), "sizes")
         made.keep(sizes, classes, able)  # the fragments aren't needed any more
         with scratch.owner() as inner:
             labels = _links(rows, able, size)

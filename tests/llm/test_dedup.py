@@ -40,6 +40,59 @@ def test_jaccard_with_everything_dealt_over_parts(spark, rows, monkeypatch):
     assert H.ordered(found.collect()) == H.ordered(H.components(rows + rows[6:8] * 5))
 
 
+def test_jaccard_with_a_filter_in_small_pieces(spark, rows, monkeypatch):
+    """With few shingles gathered, few ranges and small blocks, the first filter's counts come from many pieces."""
+    monkeypatch.setattr(jaccard_join, "GATHER", 50)
+    monkeypatch.setattr(jaccard_join, "RANGES", (3, 5))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    found = jaccard_join.jaccard_components(H.frame(spark, rows))
+    assert H.ordered(found.collect()) == H.ordered(H.components(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shingles_that_occur_once_are_counted_by_row(seed):
+    """The pieces of the first filter against a plain count, with clashes inside a row, a piece and all pieces."""
+    import pyarrow as pa
+    from collections import Counter
+
+    rng = random.Random(seed)
+    top = 1 << jaccard_join.FILTER_BITS
+    common = [0, top - 1, *(rng.randrange(top) for _ in range(20))]
+    held = {(p << 33) + i: [rng.choice(common) if rng.random() < 0.3 else rng.randrange(top) for _ in range(rng.randrange(40))] for p in range(2) for i in range(30)}
+    seen = Counter(t for of in held.values() for t in of)
+    want = {r: n for r, of in held.items() if (n := sum(seen[t] == 1 for t in of))}
+    table = pa.table({"row": pa.array(held, pa.int64()), "fragment": pa.array(list(held.values()), pa.list_(pa.int64()))})
+    for gather, ranges, block in ((1, 1, 1), (70, 7, 16), (10**6, 1 << 14, 4096)):
+        dealt = [pa.table(d) for d in jaccard_join._dealt(iter(table.to_batches(max_chunksize=9)), ranges, gather)]
+        dealt = pa.concat_tables(dealt).to_pylist()
+        names = ["range", "once", "owners", "more"]
+        groups = [pa.table({c: [d[c] for d in dealt if d["range"] == r] for c in names}, schema=pa.schema(list(zip(names, [pa.int32()] + [pa.binary()] * 3)))) for r in {d["range"] for d in dealt}]
+        alone = [x for g in groups for x in jaccard_join._alone(g, block).to_pylist()]
+        got = {}
+        for b in {x["block"] for x in alone}:
+            of = pa.table({c: [x[c] for x in alone if x["block"] == b] for c in ("block", "places")})
+            for x in jaccard_join._lacking(of, block).to_pylist():
+                assert x["row"] not in got
+                got[x["row"]] = x["lacking"]
+        assert got == want
+
+
+def test_first_filter_moves_few_bytes_a_shingle(spark, tmp_path):
+    """Unrelated texts, of which only the filter's shingles are shuffled: that stays near their size, with many partitions too."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(600)), "en", "s", 0) for i in range(1500)]
+    H.frame(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/d")
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    written = lambda: sum(executors(True).apply(i).totalShuffleWrite() for i in range(executors(True).size()))
+    before, parts = written(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert jaccard_join.jaccard_components(spark.read.parquet(f"{tmp_path}/d")).where("doc_id = component_id").count() == 1500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert 0 < written() - before < 14 * 1500 * 596 * jaccard_join.SHARE
+
+
 def test_jaccard_stage_keeps_one_of_each(spark, rows):
     docs = H.frame(spark, [r for r in rows if r[0] is not None])
     kept = jaccard_join.stage(spark, docs, "")
